@@ -32,39 +32,44 @@ def overs_to_balls(overs: Column, per_over: Column) -> Column:
     return (whole * per_over + F.round((overs - whole) * 10)).cast("int")
 
 
-def with_running_context(balls: DataFrame) -> DataFrame:
+def with_running_context(balls: DataFrame, order: str = "seq") -> DataFrame:
     """Score, wickets, legal balls, the striker's runs and balls and the stand, each just before the ball.
 
-    Needs runs_total, runs_batter, wides, legal, dismissals (departures that count) and departures (any).
+    Needs runs_total, runs_batter, wides, legal, over, dismissals (departures that count) and departures (any). The stand
+    and the over are read off running totals at their first ball, so the innings is sorted once for all of them.
     """
-    inn, bat = before(*INNINGS), before(*INNINGS, "batter_id")
-    stand = before(*INNINGS, "stand_no")
+    inn = before(*INNINGS, order=order)
+    here = upto(*INNINGS, order=order)
+    bat = before(*INNINGS, "batter_id", order=order)
     legal = F.col("legal").cast("int")
 
     def run(x: Column, w) -> Column:
         return F.coalesce(F.sum(x).over(w), F.lit(0)).cast("int")
 
-    return (
-        balls
-        .withColumn("score_before", run(F.col("runs_total"), inn))
-        .withColumn("wickets_before", run(F.col("dismissals"), inn))
-        .withColumn("legal_balls_before", run(legal, inn))
-        .withColumn("batter_runs_before", run(F.col("runs_batter"), bat))
-        .withColumn("batter_balls_before", run((F.col("wides") == 0).cast("int"), bat))
-        .withColumn("stand_no", run((F.col("departures") > 0).cast("int"), inn))
-        .withColumn("partnership_runs_before", run(F.col("runs_total"), stand))
-        .withColumn("partnership_balls_before", run(legal, stand))
-        .drop("stand_no")
-    )
-
-
-def with_ball_labels(balls: DataFrame) -> DataFrame:
-    """Number of the ball in its over; an illegal ball carries the number of the legal ball that follows."""
-    earlier = F.coalesce(F.sum(F.col("legal").cast("int")).over(before(*INNINGS, "over")), F.lit(0)).cast("int")
-    numbered = balls.withColumn("ball_in_over", earlier + 1)
-    label = F.concat(F.col("over").cast("string"), F.lit("."), F.col("ball_in_over").cast("string"))
+    turn = ~F.col("over").eqNullSafe(F.lag("over").over(Window.partitionBy(*INNINGS).orderBy(order)))
+    rows = balls.withColumns({
+        "score_before": run(F.col("runs_total"), inn),
+        "wickets_before": run(F.col("dismissals"), inn),
+        "legal_balls_before": run(legal, inn),
+        "over_turn": turn,
+    })
+    gone = F.col("departures") > 0
+    rows = rows.withColumns({
+        "stand_score": F.coalesce(F.max(F.when(gone, F.col("score_before") + F.col("runs_total"))).over(inn), F.lit(0)),
+        "stand_balls": F.coalesce(F.max(F.when(gone, F.col("legal_balls_before") + legal)).over(inn), F.lit(0)),
+        "over_balls": F.max(F.when(F.col("over_turn"), F.col("legal_balls_before"))).over(here),
+        "batter_runs_before": run(F.col("runs_batter"), bat),
+        "batter_balls_before": run((F.col("wides") == 0).cast("int"), bat),
+    })
+    number = F.col("legal_balls_before") - F.col("over_balls") + 1
+    label = F.concat(F.col("over").cast("string"), F.lit("."), number.cast("string"))
     given = F.col("actual_delivery") if "actual_delivery" in balls.columns else F.lit(None).cast("string")
-    return numbered.withColumn("ball_label", F.coalesce(given, label)).drop("actual_delivery")
+    return rows.withColumns({
+        "partnership_runs_before": (F.col("score_before") - F.col("stand_score")).cast("int"),
+        "partnership_balls_before": (F.col("legal_balls_before") - F.col("stand_balls")).cast("int"),
+        "ball_in_over": number.cast("int"),
+        "ball_label": F.coalesce(given, label),  # an illegal ball carries the number of the legal ball that follows
+    }).drop("over_turn", "stand_score", "stand_balls", "over_balls", "actual_delivery")
 
 
 def with_chase(balls: DataFrame) -> DataFrame:
@@ -109,50 +114,59 @@ def _recent(value: str, span: int):
     return F.coalesce(F.sum(value).over(w), F.lit(0)).cast("int")
 
 
-def _since(count: str, marker: Column, w) -> Column:
-    """Distance of the count before this ball from the last earlier ball with the marker set."""
-    return F.col(count) - F.coalesce(F.max(marker).over(w), F.lit(0))
-
-
 def with_situation(balls: DataFrame) -> DataFrame:
-    """Innings length, chase state, batter stage, streaks and the recent window; super overs must be excluded."""
+    """Innings length, chase state, batter stage, streaks and the recent window.
+
+    Super overs must be excluded; outside limited-overs formats every column is null. Three sort orders serve all
+    windows: the innings by ball, the innings by legal ball (value range) and the striker's own balls.
+    """
     inn, bat = before(*INNINGS), before(*INNINGS, "batter_id")
     team_ix = F.col("legal_balls_before") + F.col("legal").cast("int")
     bat_ix = F.col("batter_balls_before") + 1
     hit = F.col("runs_batter").isin(4, 6) & ~F.col("non_boundary")
+    t20 = F.col("format_group") == "T20"
+    marks = balls.withColumns({
+        "last_team_hit": F.max(F.when(hit, team_ix)).over(inn),
+        "last_team_run": F.max(F.when(F.col("runs_total") > 0, team_ix)).over(inn),
+        "last_team_other": F.max(F.when(F.col("legal") & ~hit, team_ix)).over(inn),
+        "recent_short": _recent("runs_total", RECENT["T20"]), "recent_long": _recent("runs_total", RECENT["ODI"]),
+        "fell_short": _recent("n_wickets", RECENT["T20"]), "fell_long": _recent("n_wickets", RECENT["ODI"]),
+        "last_bat_hit": F.max(F.when(hit, bat_ix)).over(bat),
+        "last_bat_run": F.max(F.when((F.col("wides") == 0) & (F.col("runs_batter") > 0), bat_ix)).over(bat),
+    })
     length = F.coalesce(F.col("target_overs"), F.col("scheduled_overs").cast("double")) \
         * F.coalesce(F.col("balls_per_over"), F.lit(6))
     limit = F.round(length).cast("int")
-    band = F.when(F.col("format_group") == "T20", CHASE_BAND["T20"]).otherwise(CHASE_BAND["ODI"])
-    gap = F.col("required_rate") - F.col("current_rate")
-    t20 = F.col("format_group") == "T20"
-    return (
-        balls
-        .withColumn("wickets_in_hand", 10 - F.col("wickets_before"))
-        .withColumn("innings_balls_limit", limit)
-        .withColumn("limit_uncertain", (F.col("innings_no") == 1) & F.col("method").isNotNull())
-        .withColumn("balls_left", limit - F.col("legal_balls_before"))
-        .withColumn("progress_pct", F.round(100.0 * F.col("legal_balls_before") / F.nullif(length, F.lit(0.0)), 1))
-        .withColumn("chase_state", F.when(gap.isNull(), F.lit(None).cast("string"))
-                    .when(F.col("required_rate") < F.col("current_rate") - band, "ahead")
-                    .when(F.col("required_rate") > F.col("current_rate") + band, "behind")
-                    .otherwise("around"))
-        .withColumn("batter_stage", F.when(F.col("batter_balls_before") < 10, "new")
-                    .when(F.col("batter_balls_before") < 30, "settling").otherwise("set"))
-        .withColumn("batter_balls_since_boundary", _since("batter_balls_before", F.when(hit, bat_ix), bat))
-        .withColumn("team_balls_since_boundary", _since("legal_balls_before", F.when(hit, team_ix), inn))
-        .withColumn("recent_window", F.when(t20, RECENT["T20"]).otherwise(RECENT["ODI"]))
-        .withColumn("recent_runs", F.when(t20, _recent("runs_total", RECENT["T20"]))
-                    .otherwise(_recent("runs_total", RECENT["ODI"])))
-        .withColumn("recent_wickets", F.when(t20, _recent("n_wickets", RECENT["T20"]))
-                    .otherwise(_recent("n_wickets", RECENT["ODI"])))
-        .withColumn("team_dot_streak", _since("legal_balls_before", F.when(F.col("runs_total") > 0, team_ix), inn))
-        .withColumn("batter_dot_streak", _since(
-            "batter_balls_before", F.when((F.col("wides") == 0) & (F.col("runs_batter") > 0), bat_ix), bat))
-        .withColumn("team_boundary_streak", F.when(
-            F.max(F.when(hit, team_ix)).over(inn).isNull(), 0).otherwise(
-            _since("legal_balls_before", F.when(F.col("legal") & ~hit, F.col("legal_balls_before") + 1), inn)))
-    )
+    band = F.when(t20, CHASE_BAND["T20"]).otherwise(CHASE_BAND["ODI"])
+    need, rate = F.col("required_rate"), F.col("current_rate")
+
+    def since(count: str, mark: str) -> Column:
+        return F.col(count) - F.coalesce(F.col(mark), F.lit(0))
+
+    out = {
+        "wickets_in_hand": 10 - F.col("wickets_before"),
+        "innings_balls_limit": limit,
+        "limit_uncertain": (F.col("innings_no") == 1) & F.col("method").isNotNull(),
+        "balls_left": limit - F.col("legal_balls_before"),
+        "progress_pct": F.round(100.0 * F.col("legal_balls_before") / F.nullif(length, F.lit(0.0)), 1),
+        "chase_state": F.when(need < rate - band, "ahead").when(need > rate + band, "behind")
+        .when(need.isNotNull() & rate.isNotNull(), "around"),
+        "batter_stage": F.when(F.col("batter_balls_before") < 10, "new")
+        .when(F.col("batter_balls_before") < 30, "settling").otherwise("set"),
+        "batter_balls_since_boundary": since("batter_balls_before", "last_bat_hit"),
+        "team_balls_since_boundary": since("legal_balls_before", "last_team_hit"),
+        "recent_window": F.when(t20, RECENT["T20"]).otherwise(RECENT["ODI"]),
+        "recent_runs": F.when(t20, F.col("recent_short")).otherwise(F.col("recent_long")),
+        "recent_wickets": F.when(t20, F.col("fell_short")).otherwise(F.col("fell_long")),
+        "team_dot_streak": since("legal_balls_before", "last_team_run"),
+        "batter_dot_streak": since("batter_balls_before", "last_bat_run"),
+        "team_boundary_streak": F.when(F.col("last_team_hit").isNull(), 0)
+        .otherwise(since("legal_balls_before", "last_team_other")),
+    }
+    limited = F.col("format_group").isin("T20", "ODI")
+    return marks.withColumns({name: F.when(limited, col) for name, col in out.items()}).drop(
+        "last_team_hit", "last_team_run", "last_team_other", "recent_short", "recent_long", "fell_short", "fell_long",
+        "last_bat_hit", "last_bat_run")
 
 
 SITUATION_COLUMNS = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inswing.functions.columns import canonical_team
-from inswing.operators.sequence import SITUATION_COLUMNS, with_situation
+from inswing.operators.sequence import with_situation
 from inswing.plans.workspace import Workspace, relation
 
 INN = ["match_id", "innings_no"]
@@ -155,27 +155,22 @@ def innings_context(ws: Workspace) -> DataFrame:
 @relation("balls", partition_by=("format_group", "gender"))
 def balls(ws: Workspace) -> DataFrame:
     """One row per delivery with match, innings, player and situation columns; super overs are left out."""
-    b = ws["deliveries"].join(innings_context(ws), INN)
+    b = ws["deliveries"].repartition(*INN).join(innings_context(ws), INN)
     bowl, bat, fell = F.col("people")[F.col("bowler_id")], F.col("people")[F.col("batter_id")], \
         F.col("falls")[F.col("delivery_id")]
-    b = (
-        b.withColumn("year", F.year("start_date"))
-        .withColumn("bowler_family", bowl["bowling_family"])
-        .withColumn("bowler_family_prov", bowl["bowling_family_prov"])
-        .withColumn("bowler_family_source", bowl["bowling_family_source"])
-        .withColumn("bowler_arm", bowl["bowling_arm"]).withColumn("bowler_style", bowl["bowling_style"])
-        .withColumn("batter_hand", bat["batting_hand"]).withColumn("batter_hand_source", bat["batting_hand_source"])
-        .withColumn("batter_position", F.col("places")[F.col("batter_id")])
-        .withColumn("faced", F.col("wides") == 0)
-        .withColumn("wk", F.coalesce(fell["wk"], F.lit(0)))
-        .withColumn("striker_dismissed", F.coalesce(fell["striker_dismissed"], F.lit(False)))
-        .withColumn("striker_credited", F.coalesce(fell["striker_credited"], F.lit(False)))
-        .drop("people", "places", "falls")
-    )
+    b = b.withColumns({
+        "year": F.year("start_date"),
+        "bowler_family": bowl["bowling_family"], "bowler_family_prov": bowl["bowling_family_prov"],
+        "bowler_family_source": bowl["bowling_family_source"], "bowler_arm": bowl["bowling_arm"],
+        "bowler_style": bowl["bowling_style"],
+        "batter_hand": bat["batting_hand"], "batter_hand_source": bat["batting_hand_source"],
+        "batter_position": F.col("places")[F.col("batter_id")],
+        "faced": F.col("wides") == 0,
+        "wk": F.coalesce(fell["wk"], F.lit(0)),
+        "striker_dismissed": F.coalesce(fell["striker_dismissed"], F.lit(False)),
+        "striker_credited": F.coalesce(fell["striker_credited"], F.lit(False)),
+    }).drop("people", "places", "falls")
     out = with_situation(b).drop("scheduled_overs", "balls_per_over", "target_overs")
-    # the situation is defined for limited-overs cricket only
-    for name in SITUATION_COLUMNS:
-        out = out.withColumn(name, F.when(F.expr(LIMITED), F.col(name)))
     return out.sortWithinPartitions("format_group", "gender", "match_id", "innings_no", "seq")
 
 

@@ -117,8 +117,8 @@ def _cut_long_innings(lines: DataFrame) -> DataFrame:
 @relation("ball_facts")
 def ball_facts(ws: Workspace) -> DataFrame:
     """Deliveries with their context, plus the kind of wicket and the fielder's number."""
-    inn = Window.partitionBy("match_id", "innings_no")
-    prev = before("match_id", "innings_no")
+    inn = Window.partitionBy("match_id", "innings_no").orderBy("at")
+    prev = before("match_id", "innings_no", order="at")
     whole = Window.partitionBy("match_id")
 
     def run(x: Column) -> Column:
@@ -126,64 +126,46 @@ def ball_facts(ws: Workspace) -> DataFrame:
 
     wkt = F.col("kind").isNotNull().cast("int")
     limit = F.when(F.col("format_group") == "ODI", 300).otherwise(120)
-    rows = _cut_long_innings(_lines(ws)).repartition("match_id")
-    rows = (
-        rows
-        .withColumn("seq", F.row_number().over(inn.orderBy("at")).cast("int")).drop("at")
-        .withColumn("runs_extras", (F.col("wides") + F.col("noballs") + F.col("byes")).cast("int"))
-        .withColumn("runs_total", (F.col("runs_batter") + F.col("runs_extras")).cast("int"))
-        .withColumn("dismissals", wkt)
-        .withColumn("departures", wkt)
-        .withColumn("w0", run(wkt))
-        .withColumn("l0", run(F.col("legal").cast("int")))
-        .withColumn("s0", run(F.col("runs_total")))
-        .filter((F.col("w0") < 10) & (F.col("l0") < limit))
-        .withColumn("first_total", F.sum(F.when(F.col("innings_no") == 1, F.col("runs_total"))).over(whole))
-        .withColumn("target_runs", F.when(F.col("innings_no") == 2, F.col("first_total") + 1).cast("int"))
-        .filter(F.col("target_runs").isNull() | (F.col("s0") < F.col("target_runs")))
-        .withColumn("over", F.floor(F.col("l0") / 6).cast("int"))
-    )
+    extras = F.col("wides") + F.col("noballs") + F.col("byes")
+    rows = _cut_long_innings(_lines(ws)).repartition("match_id").withColumns({
+        "runs_extras": extras.cast("int"), "runs_total": (F.col("runs_batter") + extras).cast("int"),
+        "dismissals": wkt, "departures": wkt, "limit_balls": limit})
+    rows = rows.withColumns({
+        "seq": F.row_number().over(inn).cast("int"), "w0": run(F.col("dismissals")),
+        "l0": run(F.col("legal").cast("int")), "s0": run(F.col("runs_total")),
+    }).filter((F.col("w0") < 10) & (F.col("l0") < F.col("limit_balls")))
+    target = F.sum(F.when(F.col("innings_no") == 1, F.col("runs_total"))).over(whole) + 1
+    rows = rows.withColumn("target_runs", F.when(F.col("innings_no") == 2, target).cast("int")).filter(
+        F.col("target_runs").isNull() | (F.col("s0") < F.col("target_runs")))
     attrs = match_columns(F.col("match_no"))
-    for name in ("gender", "t1", "t2", "scheduled_overs"):
-        rows = rows.withColumn(name, attrs[name])
     first = F.col("innings_no") == 1
     credited = F.col("kind").isNotNull() & (F.col("kind") != "run out")
     on_strike = F.col("w0") + F.when(credited | (F.col("seq") % 2 == 1), 1).otherwise(2)
-    rows = (
-        rows
-        .withColumn("bat_t", F.when(first, F.col("t1")).otherwise(F.col("t2")))
-        .withColumn("bowl_t", F.when(first, F.col("t2")).otherwise(F.col("t1")))
-        .withColumn("bat_pos", on_strike)
-        .withColumn("ns_pos", 2 * F.col("w0") + 3 - on_strike)
-        .withColumn("bowl_pos", (7 + 2 * (F.floor(F.col("over") / 4) % 2) + F.col("over") % 2).cast("int"))
-    )
-    g = F.col("gender")
+    over = F.floor(F.col("l0") / 6).cast("int")
+    rows = rows.withColumns({
+        "over": over, "gender": attrs["gender"], "scheduled_overs": attrs["scheduled_overs"],
+        "bat_t": F.when(first, attrs["t1"]).otherwise(attrs["t2"]),
+        "bowl_t": F.when(first, attrs["t2"]).otherwise(attrs["t1"]),
+        "bat_pos": on_strike, "ns_pos": 2 * F.col("w0") + 3 - on_strike,
+        "bowl_pos": (7 + 2 * (F.floor(over / 4) % 2) + over % 2).cast("int"),
+        "out_pos": F.when(F.col("kind").isNotNull(), F.col("w0") + 1),
+        "field_pos": F.when(F.col("kind") == "caught", 1 + F.col("sk") % 6)
+        .when(F.col("kind").isin("stumped", "run out"), 1).cast("int"),
+    })
+    people = {}
     for role, team, pos in (("batter", "bat_t", "bat_pos"), ("non_striker", "bat_t", "ns_pos"),
-                            ("bowler", "bowl_t", "bowl_pos")):
-        rows = rows.withColumn(f"{role}_id", person(g, F.col(team), F.col(pos)))
-        rows = rows.withColumn(role, person_name(g, F.col(team), F.col(pos)))
-    rows = (
-        rows
-        .withColumn("out_pos", F.when(F.col("kind").isNotNull(), F.col("w0") + 1))
-        .withColumn("player_out_id", person(g, F.col("bat_t"), F.col("out_pos")))
-        .withColumn("player_out", person_name(g, F.col("bat_t"), F.col("out_pos")))
-        .withColumn("field_pos", F.when(F.col("kind") == "caught", 1 + F.col("sk") % 6)
-                    .when(F.col("kind").isin("stumped", "run out"), 1).cast("int"))
-        .withColumn("fielder_id", person(g, F.col("bowl_t"), F.col("field_pos")))
-        .withColumn("fielder", person_name(g, F.col("bowl_t"), F.col("field_pos")))
-        .withColumn("substitute", F.col("sk") % 50 == 0)
-        .withColumn("limit_balls", limit)
-        .withColumn("non_boundary", F.lit(False))
-        .withColumn("is_four", F.col("runs_batter") == 4)
-        .withColumn("is_six", F.col("runs_batter") == 6)
-        .withColumn("n_wickets", F.col("dismissals"))
-        .withColumn("legbyes", F.lit(0)).withColumn("penalty", F.lit(0))
-        .withColumn("source_id", F.lit("projection"))
-        .withColumn("delivery_id", F.concat_ws(":", "match_id", "innings_no", "seq"))
-        .withColumn("phase", sequence.phase(F.col("format_group"), F.col("over"), F.col("scheduled_overs"),
-                                            F.lit(False)))
-    )
-    rows = sequence.with_chase(sequence.with_ball_labels(sequence.with_running_context(rows)))
+                            ("bowler", "bowl_t", "bowl_pos"), ("player_out", "bat_t", "out_pos"),
+                            ("fielder", "bowl_t", "field_pos")):
+        people[f"{role}_id"] = person(F.col("gender"), F.col(team), F.col(pos))
+        people[role] = person_name(F.col("gender"), F.col(team), F.col(pos))
+    rows = rows.withColumns(people | {
+        "substitute": F.col("sk") % 50 == 0, "non_boundary": F.lit(False),
+        "is_four": F.col("runs_batter") == 4, "is_six": F.col("runs_batter") == 6,
+        "n_wickets": F.col("dismissals"), "legbyes": F.lit(0), "penalty": F.lit(0), "source_id": F.lit("projection"),
+        "delivery_id": F.concat_ws(":", "match_id", "innings_no", "seq"),
+        "phase": sequence.phase(F.col("format_group"), F.col("over"), F.col("scheduled_overs"), F.lit(False)),
+    })
+    rows = sequence.with_chase(sequence.with_running_context(rows, order="at"))
     keep = [f.name for f in DELIVERIES.fields] + [
         "match_no", "kind", "player_out_id", "player_out", "fielder_id", "fielder", "substitute", "bat_t", "bowl_t"]
     return rows.select(*keep)
