@@ -198,7 +198,7 @@ SELECT d.* EXCLUDE (gender, format_group, match_no, t1, t2, kind, player_out_id,
   m.team1, m.team2, m.winner, m.result, m.method, m.event_stage, i.batting_team, i.bowling_team, m.scheduled_overs * 6 AS innings_balls_limit,
   bp.bowling_family AS bowler_family, bp.bowling_arm AS bowler_arm, bp.bowling_style AS bowler_style, tp.batting_hand AS batter_hand,
   d.wides = 0 AS faced, o.batting_position AS batter_position,
-  (d.kind IS NOT NULL AND d.kind <> 'run out')::INT AS wk, coalesce(d.player_out_id = d.batter_id, FALSE) AS striker_dismissed,
+  (d.kind IS NOT NULL AND d.kind <> 'run out')::INT AS wk, d.n_wickets AS outs, coalesce(d.player_out_id = d.batter_id, FALSE) AS striker_dismissed,
   coalesce(d.player_out_id = d.batter_id AND d.kind <> 'run out', FALSE) AS striker_credited, (d.runs_batter IN (4, 6)) AS hit
 FROM deliveries d JOIN matches m ON m.match_id = d.match_id JOIN innings i ON i.match_id = d.match_id AND i.innings_no = d.innings_no
 LEFT JOIN player_profile bp ON bp.person_id = d.bowler_id LEFT JOIN player_profile tp ON tp.person_id = d.batter_id

@@ -141,11 +141,11 @@ def innings_context(ws: Workspace) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("person_id", "batting_position"))).alias("places"))
     falls = (
         ws["wickets"].groupBy(*INN, "delivery_id").agg(
-            F.count_if("bowler_credited").alias("wk"),
+            F.count_if("bowler_credited").alias("wk"), F.count_if("counts_as_dismissal").alias("outs"),
             F.bool_or(F.col("counts_as_dismissal") & F.col("striker_out")).alias("striker_dismissed"),
             F.bool_or(F.col("bowler_credited") & F.col("striker_out")).alias("striker_credited"))
         .groupBy(*INN).agg(F.map_from_entries(F.collect_list(F.struct(
-            "delivery_id", F.struct("wk", "striker_dismissed", "striker_credited")))).alias("falls"))
+            "delivery_id", F.struct("wk", "outs", "striker_dismissed", "striker_credited")))).alias("falls"))
     )
     m = ws["matches"].select("match_id", *MATCH_COLUMNS, "scheduled_overs", "balls_per_over")
     i = ws["innings"].filter("not super_over").select(*INN, "batting_team", "bowling_team", "target_overs")
@@ -166,7 +166,7 @@ def balls(ws: Workspace) -> DataFrame:
         "batter_hand": bat["batting_hand"], "batter_hand_source": bat["batting_hand_source"],
         "batter_position": F.col("places")[F.col("batter_id")],
         "faced": F.col("wides") == 0,
-        "wk": F.coalesce(fell["wk"], F.lit(0)),
+        "wk": F.coalesce(fell["wk"], F.lit(0)), "outs": F.coalesce(fell["outs"], F.lit(0)),
         "striker_dismissed": F.coalesce(fell["striker_dismissed"], F.lit(False)),
         "striker_credited": F.coalesce(fell["striker_credited"], F.lit(False)),
     }).drop("people", "places", "falls")

@@ -58,6 +58,12 @@ class Workspace:
                 self._ready[name] = self.spark.read.parquet(path)
             return self._ready[name]
 
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write an intermediate result that several branches of a query read, and return a scan of it."""
+        path = f"{self.root}/stage/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 
