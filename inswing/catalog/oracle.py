@@ -205,7 +205,7 @@ LEFT JOIN player_profile bp ON bp.person_id = d.bowler_id LEFT JOIN player_profi
 LEFT JOIN batting_order o ON o.match_id = d.match_id AND o.innings_no = d.innings_no AND o.person_id = d.batter_id
 """
 TABLES["balls"] = """
-SELECT * EXCLUDE (lt, ln_, lr, lb, lbr), 10 - wickets_before AS wickets_in_hand, (innings_no = 1 AND method IS NOT NULL) AS limit_uncertain,
+SELECT * EXCLUDE (lt, ln_, lr, lb, lbr, band), 10 - wickets_before AS wickets_in_hand, (innings_no = 1 AND method IS NOT NULL) AS limit_uncertain,
   innings_balls_limit - legal_balls_before AS balls_left, round(100.0::DOUBLE * legal_balls_before / innings_balls_limit, 1) AS progress_pct,
   CASE WHEN required_rate < current_rate - band THEN 'ahead' WHEN required_rate > current_rate + band THEN 'behind'
        WHEN required_rate IS NOT NULL AND current_rate IS NOT NULL THEN 'around' END AS chase_state,
