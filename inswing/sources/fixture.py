@@ -96,13 +96,15 @@ def _lines(ws: Workspace) -> DataFrame:
 def _cut_long_innings(lines: DataFrame) -> DataFrame:
     """Drop what follows the last legal ball an innings can hold.
 
-    The row_number filter is pushed below the shuffle as a per-task limit, so an innings number that holds a large
-    share of the table sends only a few hundred rows per task; innings that never reach the limit have no cut.
+    Only innings with enough legal balls are ordered, and for them the row_number filter is pushed below the shuffle as
+    a per-task limit, so an innings that holds a large share of the table sends only a few hundred rows per task.
     """
     w = Window.partitionBy("match_id", "innings_no").orderBy("at")
     limit = F.when(F.col("format_group") == "ODI", 300).otherwise(120)
+    legal = lines.filter("legal").select("match_id", "innings_no", "format_group", "at")
+    full = legal.groupBy("match_id", "innings_no", "format_group").agg(F.count("*").alias("k")).filter(F.col("k") >= limit)
     last = (
-        lines.filter("legal").select("match_id", "innings_no", "format_group", "at")
+        legal.join(full.select("match_id", "innings_no"), ["match_id", "innings_no"], "left_semi")
         .withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 300)
         .filter(F.col("n") == limit)
         .select("match_id", "innings_no", F.col("at").alias("last_at"))

@@ -12,7 +12,7 @@ from inswing.plans.workspace import Workspace  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 spark = session()
 spark.range(10).groupBy("id").count().collect()
-for go in range(2):
+for go in range(int(sys.argv[2]) if len(sys.argv) > 2 else 2):
     ws = Workspace(spark, f"/root/testdata/sf{sf}")
     t = time.time()
     for name in ("ball_facts deliveries innings matches players_in_match wickets wicket_fielders batting_order keeper_inference persons "
