@@ -53,18 +53,15 @@ _ROWS = f"""(SELECT kind, key, weight, unnest({_tok('text')}) AS token FROM (
   UNION ALL SELECT 'team', k, k, count(*) FROM (SELECT unnest([ta, tb]) AS k FROM team_results) GROUP BY 2 UNION ALL SELECT 'competition', competition, competition, count(*) FROM team_results WHERE competition IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'match', match_id, team1 || ' ' || team2 || ' ' || season || ' ' || venue, 1 FROM team_results))"""
 add("H01_search_rows", "kind key token weight:i", f"SELECT * FROM {_ROWS}", G.search_rows)
-_QS = "(SELECT item_id AS query_id, name || ' ' || split_part(venue, ' ', 2) AS text FROM (SELECT row_number() OVER (ORDER BY person_id) AS item_id, name FROM player_profile) JOIN (SELECT match_no + 1 AS item_id, venue, team1 FROM matches) USING (item_id))"
+_QS = "(SELECT person_id AS query_id, name || ' ' || person_id[2] AS text FROM player_profile)"
 
 
 def _queries(ws):
-    """Questions made of a player's name and a match's ground, one per player."""
-    from pyspark.sql import Window
-    p = ws["player_profile"].select(F.row_number().over(Window.orderBy("person_id")).alias("query_id"), "name")  # a table of players
-    m = ws["matches"].select((F.expr("cast(substring(match_id, 2) as int)") + 1).alias("query_id"), "venue")
-    return p.join(m, "query_id").select("query_id", F.concat_ws(" ", "name", F.split_part("venue", F.lit(" "), F.lit(2))).alias("text"))
+    """One question per player: the name and the number of a side."""
+    return ws["player_profile"].select(F.col("person_id").alias("query_id"), F.concat_ws(" ", "name", F.substring("person_id", 2, 1)).alias("text"))
 
 
-add("H03_search", "query_id:i kind rank:i key score:f", f"""WITH r AS (FROM {_ROWS}), q AS (SELECT query_id, len(ts) AS need, unnest(ts) AS q FROM (SELECT query_id, {_tok('text')} AS ts FROM {_QS})),
+add("H03_search", "query_id kind rank:i key score:f", f"""WITH r AS (FROM {_ROWS}), q AS (SELECT query_id, len(ts) AS need, unnest(ts) AS q FROM (SELECT query_id, {_tok('text')} AS ts FROM {_QS})),
   h AS (SELECT query_id, need, kind, key, q, max(CASE WHEN token = q THEN 1e0 ELSE 0.75e0 END) AS s, max(weight) AS weight FROM q JOIN r ON token = q OR (length(q) >= 3 AND starts_with(token, q)) GROUP BY 1, 2, 3, 4, 5),
   g AS (SELECT query_id, need, kind, key, sum(s) / need + log10(1 + max(weight)) / 10 AS score FROM h GROUP BY 1, 2, 3, 4 HAVING count(*) >= greatest(1, need - CASE WHEN need >= 3 THEN 1 ELSE 0 END))
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY round(score, 9) DESC, key) AS rank FROM g) WHERE rank <= 5""", lambda ws: G.search(_queries(ws), ws.stage(G.search_rows(ws), "search_rows")))
