@@ -107,7 +107,7 @@ add("X12_half_split", "match_id half:i", "SELECT match_id, ('0x' || md5(match_id
 add("X14_digests", "match_id a b", "SELECT match_id, sha256(match_id) AS a, sha1(match_id) AS b FROM matches", lambda ws: ws["matches"].select("match_id", F.sha2("match_id", 256).alias("a"), F.sha1("match_id").alias("b")))
 add("X17_overs_text", "match_id innings_no:i overs", "SELECT match_id, innings_no, (legal_balls // 6) || '.' || (legal_balls % 6) AS overs FROM innings",
     lambda ws: ws["innings"].select("match_id", "innings_no", F.concat_ws(".", F.expr("legal_balls div 6"), c("legal_balls") % 6).alias("overs")))
-add("X16_html_text", "page_id:i title links:i", None, lambda ws: ws.source("pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?i)<a\\s"), F.lit(0))).cast("long").alias("links")))
+add("X16_html_text", "page_id:i title links:i", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s')) AS links FROM pages", lambda ws: ws.source("pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?i)<a\\s"), F.lit(0))).cast("long").alias("links")))
 
 # ---- replay columns
 _SYM = "CASE WHEN n_wickets > 0 THEN 'W' WHEN wides > 0 THEN 'wd' WHEN noballs > 0 THEN 'nb' WHEN byes > 0 THEN 'b' WHEN legbyes > 0 THEN 'lb' WHEN runs_total = 0 THEN '.' ELSE runs_batter::VARCHAR END"
@@ -133,3 +133,23 @@ add("D38_index_in_over", "delivery_id idx:i", "SELECT delivery_id, row_number()
 add("S20_as_of", "match_id batter_id runs:i", "SELECT match_id, batter_id, runs FROM bat_innings WHERE start_date < DATE '2017-01-01'", lambda ws: ws["bat_innings"].filter(c("start_date") < F.lit("2017-01-01").cast("date")))
 add("D27_canonical_names", "match_id a b", "SELECT match_id, CASE team1 WHEN 'Kings XI Punjab' THEN 'Punjab Kings' WHEN 'Royal Challengers Bangalore' THEN 'Royal Challengers Bengaluru' ELSE team1 END AS a, team1 AS b FROM matches",
     lambda ws: ws["matches"].select("match_id", canonical_team("team1").alias("a"), c("team1").alias("b")))
+
+# ---- remaining shapes
+add("O02_pagination", "bowler_id n:i total:i match_id innings_no:i", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bowler_id ORDER BY start_date DESC, match_id, innings_no) AS n, count(*) OVER (PARTITION BY bowler_id) AS total FROM bowl_innings) WHERE n BETWEEN 4 AND 6",
+    lambda ws: ranked(ws["bowl_innings"], ["bowler_id"], [F.desc("start_date"), F.asc("match_id"), F.asc("innings_no")], 6, "n").filter("n > 3").join(ws["bowl_innings"].groupBy("bowler_id").agg(F.count("*").alias("total")), "bowler_id"))
+add("U04_both_orientations", "a b n:i", "SELECT a, b, count(*) AS n FROM (SELECT ta AS a, tb AS b FROM team_results UNION ALL SELECT tb, ta FROM team_results) GROUP BY 1, 2",
+    lambda ws: ws["team_results"].select(F.inline(F.array(F.struct(c("ta").alias("a"), c("tb").alias("b")), F.struct(c("tb").alias("a"), c("ta").alias("b"))))).groupBy("a", "b").agg(F.count("*").alias("n")))
+add("W06_value_range", "delivery_id n:i", "SELECT delivery_id, count(*) OVER (PARTITION BY match_id, innings_no ORDER BY legal_balls_before RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING) AS n FROM deliveries",
+    lambda ws: ws["deliveries"].withColumn("n", F.count("*").over(W.partitionBy("match_id", "innings_no").orderBy("legal_balls_before").rangeBetween(-6, -1))))
+add("W10_cumulative_by_day", "bowler_id start_date:d career:i", "SELECT DISTINCT bowler_id, start_date, sum(wickets) OVER (PARTITION BY bowler_id ORDER BY start_date RANGE UNBOUNDED PRECEDING) AS career FROM bowl_innings",
+    lambda ws: ws["bowl_innings"].groupBy("bowler_id", "start_date").agg(F.sum("wickets").alias("w")).withColumn("career", F.sum("w").over(W.partitionBy("bowler_id").orderBy("start_date").rowsBetween(W.unboundedPreceding, 0))))
+add("X01_conditionals", "match_id comp margin:i", "SELECT match_id, coalesce(competition, 'Bilateral') AS comp, CASE WHEN win_by_runs IS NOT NULL THEN win_by_runs ELSE nullif(win_by_wickets, 10) END AS margin FROM matches",
+    lambda ws: ws["matches"].select("match_id", F.coalesce("competition", F.lit("Bilateral")).alias("comp"), F.when(c("win_by_runs").isNotNull(), c("win_by_runs")).otherwise(F.nullif("win_by_wickets", F.lit(10))).alias("margin")))
+add("X09_lists", "batter_id bowler_id k:i t20:b joined", "SELECT batter_id, bowler_id, len(formats) AS k, list_contains(formats, 'T20') AS t20, array_to_string(list_transform(formats[1:1], lambda x: lower(x)), ',') AS joined FROM battles",
+    lambda ws: ws["battles"].select("batter_id", "bowler_id", F.size("formats").alias("k"), F.array_contains("formats", "T20").alias("t20"), F.array_join(F.transform(F.slice("formats", 1, 1), lambda x: F.lower(x)), ",").alias("joined")))
+add("X11_map_access", "person_id sb", "SELECT person_id, 'sb-' || person_id AS sb FROM people", lambda ws: ws["persons"].select("person_id", c("external_ids")["key_scorebook"].alias("sb")))
+add("X13_math", "o_orderkey:i a:f b:f d:f", "SELECT o_orderkey, ln(o_totalprice) AS a, sqrt(o_totalprice) AS b, tanh(o_totalprice / 100000) AS d FROM orders",
+    lambda ws: ws.source("orders").select("o_orderkey", F.ln("o_totalprice").alias("a"), F.sqrt("o_totalprice").alias("b"), F.tanh(c("o_totalprice") / 100000).alias("d")))
+add("S14_join_by_external_id", "person_id field value", "SELECT person_id, 'batting_hand' AS field, batting_hand AS value FROM people WHERE batting_hand IS NOT NULL",
+    lambda ws: ws["persons"].select("person_id", F.explode("external_ids").alias("scheme", "external")).join(
+        ws["style_observations"].filter("field = 'batting_hand'").select(F.concat(F.lit("sb-"), "person_id").alias("external"), "field", "value"), "external"))
