@@ -2,3 +2,42 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_decontamination"] = r"""
+WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(generate_series(1, len(w) - 4)) AS t(i)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM item, unnest(generate_series(1, len(w) - 4)) AS t(i)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
+FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
+"""
+
+ORACLE["op6_chat_formatting"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+w AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, ts FROM c GROUP BY ts),
+p AS (SELECT DISTINCT ts[1:k] AS ts FROM c, unnest(generate_series(1, len(ts) - 1)) AS u(k))
+SELECT conv_id, len(ts) AS n_turns, copies, array_to_string(list_transform(ts, lambda x:
+  '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)), '') AS text
+FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ts = w.ts)
+"""
+
+ORACLE["op8_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM f
+"""
+
+ORACLE["op9_line_dedup"] = r"""
+WITH s AS (SELECT doc_id, text, length(text) AS size, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, size, i, ls[i] AS line, i - 1 + coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x))), 0) AS start
+      FROM s, unnest(generate_series(1, len(ls))) AS t(i)),
+u AS (SELECT doc_id, start, least(start + length(line) + 1, size) AS "end", trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM l),
+v AS (SELECT *, len(string_split(norm, ' ')) AS n_words, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, start) AS r,
+      min(doc_id) OVER (PARTITION BY norm) AS kept_doc_id FROM u WHERE len(string_split(norm, ' ')) >= 20)
+SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", n_words, kept_doc_id FROM v WHERE r > 1
+"""
