@@ -146,4 +146,4 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
     scored = stage(score(docs), "quality-documents")
-    return judge(scored, stage(certify(scored, labels), "quality-cutoffs")).where("kept").select(*docs.columns)
+    return judge(scored, stage(certify(scored, labels), "quality-cutoffs")).where("kept").select("row.*")
