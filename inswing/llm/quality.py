@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
-from inswing.llm.common import SPACE, stage, text_of, words
+from inswing.llm.common import stage, text_of, words
 
 RISK = 0.02
 DELTA = 0.05
@@ -136,11 +136,10 @@ def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "row.lang") -> D
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A narrow row for each document: base counts, base_failed, kept and the scores."""
+    """A narrow row for each document: base counts, base_failed and kept."""
     scored = stage(score(docs).select(F.struct("row.doc_id", "row.lang").alias("row"), "q"), "quality-scores")
     out = judge(scored, stage(certify(scored, labels), "quality-cutoffs"))
-    return out.select("row.doc_id", *[F.col(f"q.{x}").alias(x) for x in BASE], F.col("q.base_failed").alias("base_failed"),
-                      "kept", *[F.round(F.get(F.col("q.scores"), F.lit(r)), 6).alias(x) for r, x in enumerate(CUTOFFS)])
+    return out.select("row.doc_id", *[F.col(f"q.{x}").alias(x) for x in BASE], F.col("q.base_failed").alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """DuckDB statements for the queries that SQL can express."""
 from __future__ import annotations
 
+from inswing.llm.quality import CUTOFFS, DELTA, MIN_WORDS, REPEAT_PERCENT, RISK
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op3_decontamination"] = r"""
@@ -41,3 +43,48 @@ v AS (SELECT *, len(string_split(norm, ' ')) AS n_words, row_number() OVER (PART
       min(doc_id) OVER (PARTITION BY norm) AS kept_doc_id FROM u WHERE len(string_split(norm, ' ')) >= 20)
 SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", n_words, kept_doc_id FROM v WHERE r > 1
 """
+
+_CUT = ", ".join(f"({r}, {c})" for r, name in enumerate(CUTOFFS) for c in CUTOFFS[name])
+_RISK = RISK / len(CUTOFFS)
+
+ORACLE["op1_quality_rules"] = rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
+  length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, [
+  CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END,
+  CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END,
+  CASE WHEN n_words > 0 THEN 1 - n_distinct / n_words ELSE 0 END] AS scores FROM b),
+s AS (SELECT doc_id, lang, base_failed, rule, scores[rule + 1] AS score FROM f, unnest(generate_series(0, {len(CUTOFFS) - 1})) AS u(rule)),
+cut(rule, cutoff) AS (VALUES {_CUT}),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT coalesce(lang, chr(0)) AS lang, rule, score FROM s JOIN good USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k FROM held JOIN cut USING (rule) GROUP BY lang, rule, cutoff),
+p AS (SELECT lang, rule, cutoff, k.k, k.n, sum(exp(lgamma(k.n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN k.n > i THEN lgamma(k.n - i + 1) ELSE 0 END
+  + i * ln({_RISK}) + (k.n - i) * ln(1 - {_RISK}))) AS tail FROM k, unnest(generate_series(0, k.k)) AS u(i) GROUP BY lang, rule, cutoff, k.k, k.n),
+chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM p
+  WHERE tail <= {DELTA} / ((SELECT greatest(1, count(DISTINCT lang)) FROM held) * {len(CUTOFFS)}) AND k < n * {_RISK} GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM s JOIN chosen c ON coalesce(s.lang, chr(0)) = c.lang AND s.rule = c.rule AND s.score > c.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = f.doc_id) AS kept FROM f
+"""
+
+ORACLE["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+none AS (SELECT doc_id FROM w WHERE len(w) = 0),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM none x JOIN none y ON x.doc_id <> y.doc_id),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT a AS doc_id, min(b) AS class_id, coalesce(any_value(n_links), 0) AS n_links FROM reach LEFT JOIN k ON k.doc_id = a GROUP BY a
+"""
