@@ -42,8 +42,9 @@ add("G17_player_index", "person_id what rank:i key", """SELECT * FROM (SELECT *,
     SELECT batter_id AS person_id, 'innings' AS what, match_id || '|' || innings_no AS key, runs AS v, balls AS t FROM bat_innings UNION ALL SELECT bowler_id, 'spell', match_id || '|' || innings_no, wickets, runs FROM bowl_innings
     UNION ALL SELECT a, 'partner', b, sum(runs), 0 FROM (SELECT p1 AS a, p2 AS b, runs FROM partnerships UNION ALL SELECT p2, p1, runs FROM partnerships) GROUP BY 1, 3)) WHERE rank <= CASE what WHEN 'innings' THEN 3 WHEN 'spell' THEN 2 ELSE 4 END""", G.player_index)
 add("G15_edges", "src_type src_key relation dst_type dst_key rank:i", None, G.edges)
-add("G20_tension", "match_id innings_no:i delivery_id tension:f", """SELECT match_id, innings_no, arg_max(delivery_id, (t, seq)) AS delivery_id, max(t) AS tension FROM (SELECT *, round(1e0 * legal_balls_before / innings_balls_limit
-    + CASE WHEN chasing AND balls_left > 0 THEN greatest(0, 1 - abs(required_rate - 8e0) / 8e0) ELSE 0 END + CASE WHEN batter_stage = 'set' THEN 0.3e0 ELSE 0 END + 0.2e0 * least(recent_wickets, 3), 9) AS t FROM balls) GROUP BY 1, 2""", G.tension)
+add("G20_tension", "match_id innings_no:i delivery_id tension:f", """SELECT match_id, innings_no, arg_max(delivery_id, (t, seq)) AS delivery_id, max(t) AS tension FROM (SELECT *, round(
+    CASE WHEN chasing AND balls_left > 0 AND balls_left <= 24 AND runs_required > 0 THEN 3e0 + greatest(0, 2 - 2 * abs(1e0 * runs_required / balls_left - 1.4e0)) ELSE 0 END
+    + CASE WHEN batter_runs_before % 50 >= 44 AND batter_runs_before < 100 THEN 2.5e0 ELSE 0 END + CASE WHEN phase = 'death' THEN 1 ELSE 0 END, 9) AS t FROM balls) GROUP BY 1, 2""", G.tension)
 
 # ---- search
 _STOP = ", ".join(f"'{s}'" for s in G.STOP)

@@ -102,7 +102,7 @@ add("E13_match_battles", "match_id rank:i batter_id bowler_id balls:i runs:i out
 add("E15_teams", "team gender matches:i first:d last:d", f"SELECT team, gender, count(*) AS matches, min(start_date) AS first, max(start_date) AS last FROM {_TWO} GROUP BY 1, 2", L.teams)
 add("E16_on_this_day", "match_id gender what who rank:i", _top("""(SELECT match_id, gender, 'innings' AS what, batter_id AS who, runs / 50e0 AS weight FROM bat_innings WHERE runs >= 50 AND month(start_date) = 6 AND day(start_date) = 14
     UNION ALL SELECT match_id, gender, 'spell', bowler_id, wickets / 3e0 FROM bowl_innings WHERE wickets >= 3 AND month(start_date) = 6 AND day(start_date) = 14)""", "match_id", "weight DESC, what, who", 2), lambda ws: L.on_this_day(ws, 6, 14))
-add("E17_recognisability", "person_id known:f recent:f", """SELECT person_id, least(1e0, log10(1 + n) / 4) AS known, exp(-((SELECT max(start_date) FROM matches) - last) / 730e0) AS recent FROM (
-    SELECT person_id, count(*) AS n, max(start_date) AS last FROM (SELECT start_date, unnest([batter_id, bowler_id]) AS person_id FROM balls) GROUP BY 1)""", L.recognisability)
+add("E17_recognisability", "person_id known:f recent:f", """SELECT person_id, ln(1 + count(DISTINCT match_id)) / ln(301e0) AS known,
+    exp(-greatest(0, (SELECT max(year(start_date)) FROM matches) - max(year(start_date))) / 6e0) AS recent FROM players_in_match JOIN matches USING (match_id) GROUP BY 1""", L.recognisability)
 add("E18_coverage_totals", "level:i gender format_group team_type matches:i first:d last:d", """SELECT grouping(gender, format_group, team_type) AS level, gender, format_group, team_type, count(*) AS matches, min(start_date) AS first, max(start_date) AS last
     FROM matches GROUP BY GROUPING SETS ((gender, format_group, team_type), (gender), (format_group), (team_type), ())""", L.coverage_totals)

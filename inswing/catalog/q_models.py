@@ -47,7 +47,7 @@ add("M04_predictions", "delivery_id y hit:f p0:f p6:f", f"WITH {_CTX}, {_PRED} S
     lambda ws: NB.scored(ws, _CUT).select("delivery_id", "y", "hit", F.col("pred")[0].alias("p0"), F.col("pred")[6].alias("p6")))
 add("M05_evaluation", "fmt n:i log_loss:f brier:f top1:f", f"""WITH {_CTX}, {_PRED} SELECT fmt, count(*) AS n, avg(-ln(hit)) AS log_loss, avg(list_sum(list_transform(pred, lambda x: x * x)) - 2 * hit + 1) AS brier,
     avg((hit = list_max(pred))::INT) AS top1 FROM sc GROUP BY 1""", lambda ws: NB.evaluate(NB.scored(ws, _CUT)))
-add("T19_calibration_bins", "fmt bin:i n:i mean_p:f rate:f", f"WITH {_CTX}, {_PRED} SELECT fmt, least(floor(pred[7] * 100), 9) AS bin, count(*) AS n, avg(pred[7]) AS mean_p, avg((y = 'WICKET')::INT) AS rate FROM sc GROUP BY 1, 2",
+add("T19_calibration_bins", "fmt bin:i n:i mean_p:f rate:f", f"WITH {_CTX}, {_PRED} SELECT fmt, least(floor(pred[7] * 10), 9) AS bin, count(*) AS n, avg(pred[7]) AS mean_p, avg((y = 'WICKET')::INT) AS rate FROM sc GROUP BY 1, 2",
     lambda ws: NB.calibration(NB.scored(ws, _CUT)))
 add("M21_scoring_rules", "delivery_id inverse:f log:f flat:f confidence:f", f"""WITH {_CTX}, {_PRED} SELECT delivery_id, CASE WHEN r THEN 10 / m ELSE 0 END AS inverse, CASE WHEN r THEN 10 * log2(1 / m) ELSE 0 END AS log, CASE WHEN r THEN 10 ELSE 0 END AS flat,
     100 * (1 - s / 2) AS confidence FROM (SELECT *, list_max(pred) AS m, hit = list_max(pred) AS r, list_sum(list_transform(pred, lambda x: x * x)) - 2 * hit + 1 AS s FROM sc)""", lambda ws: NB.pick_scores(NB.scored(ws, _CUT)))

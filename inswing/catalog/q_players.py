@@ -128,14 +128,14 @@ add("P32_wicket_profile", "bowler_id wickets:i bowled:i lbw:i caught:i stumped:i
     "SELECT bowler_id, count(*) AS wickets, " + ", ".join(f"sum((kind = '{k}')::INT) AS {k.replace(' ', '_')}" for k in ("bowled", "lbw", "caught", "stumped", "caught and bowled")) + ", " +
     ", ".join(f"sum((phase = '{p}')::INT) AS {p}_wickets" for p in ("powerplay", "middle", "death")) +
     ", sum((batter_balls_before < 10)::INT) AS new_batters, sum((batter_balls_before >= 30)::INT) AS set_batters FROM dis WHERE bowler_credited GROUP BY 1", P.wicket_profile)
-_ROLE = """SELECT *, CASE WHEN least(faced, bowled) >= 300 THEN 'all-rounder' WHEN bowled > faced THEN 'bowler' ELSE 'batter' END AS role FROM (
+_ROLE = """SELECT *, CASE WHEN 10 * bowled > 13 * faced THEN 'bowler' ELSE 'batter' END AS role, least(faced, bowled) >= 300 AND least(faced, bowled) >= 0.35e0 * greatest(faced, bowled) AS allrounder FROM (
     SELECT person_id, coalesce(f, 0) AS faced, coalesce(w, 0) AS bowled FROM (SELECT batter_id AS person_id, sum(balls) AS f FROM bat_innings GROUP BY 1)
     FULL JOIN (SELECT bowler_id AS person_id, sum(balls) AS w FROM bowl_innings GROUP BY 1) USING (person_id))"""
-add("P33_primary_role", "person_id faced:i bowled:i role", _ROLE, P.primary_role)
+add("P33_primary_role", "person_id faced:i bowled:i role allrounder:b", _ROLE, lambda ws: P.primary_role(ws, 300))
 add("P34_hero", "person_id role layout runs:i bat_sr:f bat_avg:f wickets:i economy:f bowl_avg:f", f"""
-  SELECT *, CASE role WHEN 'all-rounder' THEN 'both' WHEN 'bowler' THEN 'bowling' ELSE 'batting' END AS layout FROM ({_ROLE})
+  SELECT *, CASE WHEN allrounder THEN 'both' WHEN role = 'bowler' THEN 'bowling' ELSE 'batting' END AS layout FROM ({_ROLE})
   LEFT JOIN (SELECT batter_id AS person_id, sum(runs) AS runs, 100e0 * sum(runs) / nullif(sum(balls), 0) AS bat_sr, 1e0 * sum(runs) / nullif(count(out_kind), 0) AS bat_avg FROM bat_innings GROUP BY 1) USING (person_id)
-  LEFT JOIN (SELECT bowler_id AS person_id, sum(wickets) AS wickets, 6e0 * sum(runs) / nullif(sum(balls), 0) AS economy, 1e0 * sum(runs) / nullif(sum(wickets), 0) AS bowl_avg FROM bowl_innings GROUP BY 1) USING (person_id)""", P.hero)
+  LEFT JOIN (SELECT bowler_id AS person_id, sum(wickets) AS wickets, 6e0 * sum(runs) / nullif(sum(balls), 0) AS economy, 1e0 * sum(runs) / nullif(sum(wickets), 0) AS bowl_avg FROM bowl_innings GROUP BY 1) USING (person_id)""", lambda ws: P.hero(ws, 300))
 add("P36_best_partners", "person_id rank:i partner_id runs:i balls:i stands:i best:i", """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY runs DESC, partner_id) AS rank FROM (SELECT person_id, partner_id, sum(runs) AS runs, sum(balls) AS balls, count(*) AS stands, max(runs) AS best
     FROM (SELECT p1 AS person_id, p2 AS partner_id, runs, balls FROM partnerships UNION ALL SELECT p2, p1, runs, balls FROM partnerships) GROUP BY 1, 2)) WHERE rank < 6""", P.best_partners)

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W, functions as F
 
 from inswing.catalog.registry import add
 from inswing.functions.columns import canonical_team, ranked
+from inswing.operators import replay
 
 c = lambda x: F.col(x)
 n = lambda x: F.count_if(F.expr(x))
@@ -110,18 +111,20 @@ add("X17_overs_text", "match_id innings_no:i overs", "SELECT match_id, innings_n
 add("X16_html_text", "page_id:i title links:i", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s')) AS links FROM pages", lambda ws: ws.source("pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?i)<a\\s"), F.lit(0))).cast("long").alias("links")))
 
 # ---- replay columns
-_SYM = "CASE WHEN n_wickets > 0 THEN 'W' WHEN wides > 0 THEN 'wd' WHEN noballs > 0 THEN 'nb' WHEN byes > 0 THEN 'b' WHEN legbyes > 0 THEN 'lb' WHEN runs_total = 0 THEN '.' ELSE runs_batter::VARCHAR END"
+_SYM = """CASE WHEN n_wickets > 0 THEN 'W' WHEN wides > 0 THEN wides || 'wd' WHEN noballs > 0 THEN coalesce(nullif(runs_batter, 0)::VARCHAR, '') || 'nb'
+    WHEN is_six THEN '6' WHEN is_four THEN '4' WHEN runs_total = 0 THEN '•' WHEN runs_batter = 0 AND byes > 0 THEN runs_extras || 'b'
+    WHEN runs_batter = 0 AND legbyes > 0 THEN runs_extras || 'lb' ELSE runs_total::VARCHAR END"""
 add("D31_symbol", "delivery_id symbol", f"SELECT delivery_id, {_SYM} AS symbol FROM deliveries",
-    lambda ws: ws["deliveries"].withColumn("symbol", F.when(c("n_wickets") > 0, "W").when(c("wides") > 0, "wd").when(c("noballs") > 0, "nb").when(c("byes") > 0, "b").when(c("legbyes") > 0, "lb")
-                                           .when(c("runs_total") == 0, ".").otherwise(c("runs_batter").cast("string"))))
+    lambda ws: ws["deliveries"].withColumn("symbol", replay.symbol()))
 _ALL = lambda: W.partitionBy("match_id").orderBy("innings_no", "seq")
 add("D32_neighbours", "delivery_id prev next before:i after:i", """SELECT delivery_id, lag(delivery_id) OVER w AS prev, lead(delivery_id) OVER w AS next, count(*) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before,
     count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS after FROM deliveries WINDOW w AS (PARTITION BY match_id ORDER BY innings_no, seq)""",
     lambda ws: ws["deliveries"].withColumns({"prev": F.lag("delivery_id").over(_ALL()), "next": F.lead("delivery_id").over(_ALL()), "before": F.size(F.collect_list("delivery_id").over(_ALL().rowsBetween(-12, -1))),
                                              "after": F.size(F.collect_list("delivery_id").over(_ALL().rowsBetween(1, 6)))}))
-add("D33_result_line", "match_id line", """SELECT match_id, CASE WHEN result = 'tie' THEN 'Match tied' WHEN win_by_runs IS NOT NULL THEN winner || ' won by ' || win_by_runs || ' runs' ELSE winner || ' won by ' || win_by_wickets || ' wickets' END AS line FROM matches""",
-    lambda ws: ws["matches"].withColumn("line", F.when(c("result") == "tie", "Match tied").when(c("win_by_runs").isNotNull(), F.concat(c("winner"), F.lit(" won by "), c("win_by_runs").cast("string"), F.lit(" runs")))
-                                        .when(c("win_by_wickets").isNotNull(), F.concat(c("winner"), F.lit(" won by "), c("win_by_wickets").cast("string"), F.lit(" wickets")))))
+add("D33_result_line", "match_id line", """SELECT match_id, CASE WHEN winner IS NULL THEN CASE result WHEN 'tie' THEN 'Match tied' WHEN 'no result' THEN 'No result' WHEN 'draw' THEN 'Draw' ELSE result END
+    ELSE winner || ' won' || CASE WHEN win_by_runs > 0 THEN ' by ' || win_by_runs || ' run' || CASE WHEN win_by_runs > 1 THEN 's' ELSE '' END
+      WHEN win_by_wickets > 0 THEN ' by ' || win_by_wickets || ' wicket' || CASE WHEN win_by_wickets > 1 THEN 's' ELSE '' END ELSE '' END || coalesce(' (' || method || ')', '') END AS line FROM matches""",
+    lambda ws: ws["matches"].withColumn("line", replay.result_line()))
 add("D34_cursor", "delivery_id cursor:i", "SELECT delivery_id, row_number() OVER (PARTITION BY match_id ORDER BY innings_no, seq) - 1 AS cursor FROM deliveries", lambda ws: ws["deliveries"].withColumn("cursor", F.row_number().over(_ALL()) - 1))
 _BW = lambda: W.partitionBy("match_id", "innings_no", "bowler_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
 add("D35_bowler_before", "delivery_id balls_before:i runs_before:i wickets_so_far:i", """SELECT delivery_id, coalesce(sum(legal::INT) OVER w, 0) AS balls_before, coalesce(sum(runs_batter + wides + noballs) OVER w, 0) AS runs_before, coalesce(sum(wk) OVER w, 0) AS wickets_so_far

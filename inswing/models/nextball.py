@@ -86,9 +86,9 @@ def evaluate(preds: DataFrame) -> DataFrame:
 
 
 def calibration(preds: DataFrame, bins: int = 10) -> DataFrame:
-    """Wicket probability against wickets taken, in equal-width bins."""
+    """Wicket probability against wickets taken, in bins of equal width over 0 to 1."""
     p = F.col("pred")[len(CLASSES) - 1]
-    return preds.groupBy("fmt", F.least(F.floor(p * 100).cast("int"), F.lit(bins - 1)).alias("bin")).agg(
+    return preds.groupBy("fmt", F.least(F.floor(p * bins).cast("int"), F.lit(bins - 1)).alias("bin")).agg(
         F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg((F.col("y") == "WICKET").cast("double")).alias("rate"))
 
 

@@ -127,10 +127,12 @@ def edges(ws: Workspace) -> DataFrame:
 
 
 def tension(ws: Workspace) -> DataFrame:
-    """The ball of each innings before which most was at stake: close chases late on, set batters, recent wickets."""
-    late = c("legal_balls_before") / c("innings_balls_limit")
-    near = F.when(c("chasing") & (c("balls_left") > 0), F.greatest(F.lit(0.0), 1 - F.abs(c("required_rate") - 8.0) / 8.0)).otherwise(0.0)
-    score = late + near + 0.3 * (c("batter_stage") == "set").cast("double") + 0.2 * F.least(c("recent_wickets"), F.lit(3))
+    """The ball of each innings before which most was at stake: the last 24 balls of a chase, more so when about 1.4 runs a ball
+    are needed; a batter within six of a fifty or a hundred; the death overs."""
+    needed = c("runs_required") / c("balls_left")
+    finish = F.when(c("chasing") & c("balls_left").between(1, 24) & (c("runs_required") > 0), 3 + F.greatest(F.lit(0.0), 2 - 2 * F.abs(needed - 1.4))).otherwise(0.0)
+    milestone = F.when(c("batter_runs_before").between(44, 49) | c("batter_runs_before").between(94, 99), 2.5).otherwise(0.0)
+    score = finish + milestone + F.when(c("phase") == "death", 1.0).otherwise(0.0)
     return ws["balls"].withColumn("tension", F.round(score, 9)).groupBy("match_id", "innings_no").agg(F.max(F.struct("tension", "seq", "delivery_id")).alias("x")).select(
         "match_id", "innings_no", "x.delivery_id", "x.tension")
 

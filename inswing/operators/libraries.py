@@ -320,9 +320,9 @@ def coverage_totals(ws: Workspace) -> DataFrame:
 
 
 def recognisability(ws: Workspace) -> DataFrame:
-    """How well known a player is likely to be (log of balls in covered matches) and how recent (yearly decay)."""
-    act = ws["balls"].select("start_date", F.explode(F.array("batter_id", "bowler_id")).alias("person_id")).groupBy("person_id").agg(
-        F.count("*").alias("balls"), F.max("start_date").alias("last"))
+    """How well known a player is likely to be (log of covered matches; 300 count as fully known) and how recent (decay by calendar year, six years)."""
+    act = ws["player_profile"].select("person_id", c("matches").alias("played"), c("last_match").alias("last"))
     latest = ws["team_results"].agg(F.max("start_date").alias("latest")).withColumn("one", F.lit(1))
     return act.withColumn("one", F.lit(1)).join(F.broadcast(latest), "one").select(
-        "person_id", F.least(F.lit(1.0), F.log10(1.0 + c("balls")) / 4).alias("known"), F.exp(-F.datediff("latest", "last") / 730.0).alias("recent"))
+        "person_id", (F.log1p(c("played")) / F.log1p(F.lit(300.0))).alias("known"),
+        F.coalesce(F.exp(-F.greatest(F.lit(0), F.year("latest") - F.year("last")) / 6.0), F.lit(0.3)).alias("recent"))

@@ -295,13 +295,14 @@ def wicket_profile(ws: Workspace) -> DataFrame:
         _n("batter_balls_before < 10").alias("new_batters"), _n("batter_balls_before >= 30").alias("set_batters"))
 
 
-def primary_role(ws: Workspace) -> DataFrame:
-    """Batter, bowler or all-rounder, from the share of covered balls faced and bowled."""
+def primary_role(ws: Workspace, min_each: int = 1000) -> DataFrame:
+    """Bowler if balls bowled exceed balls faced by three tenths, else batter; all-rounder apart from that, on enough of both."""
     bat = ws["bat_innings"].groupBy(F.col("batter_id").alias("person_id")).agg(F.sum("balls").alias("faced"))
     bowl = ws["bowl_innings"].groupBy(F.col("bowler_id").alias("person_id")).agg(F.sum("balls").alias("bowled"))
     j = bat.join(bowl, "person_id", "full").fillna(0, ["faced", "bowled"])
-    role = F.when((F.col("faced") >= 300) & (F.col("bowled") >= 300), "all-rounder").when(F.col("bowled") > F.col("faced"), "bowler").otherwise("batter")
-    return j.withColumn("role", role)
+    less, more = F.least("faced", "bowled"), F.greatest("faced", "bowled")
+    return j.withColumns({"role": F.when(F.col("bowled") > 1.3 * F.col("faced"), "bowler").otherwise("batter"),
+                          "allrounder": (less >= min_each) & (less >= 0.35 * more)})
 
 
 def dismissal_dna(ws: Workspace) -> DataFrame:
@@ -375,9 +376,9 @@ def compare_pairs(ws: Workspace, ids: list[str]) -> DataFrame:
         (F.abs(F.col("a.club") - F.col("b.club")) > 0.5).alias("levels_apart"), (F.col("a.gender") != F.col("b.gender")).alias("genders_differ"))
 
 
-def hero(ws: Workspace) -> DataFrame:
+def hero(ws: Workspace, min_each: int = 1000) -> DataFrame:
     """Headline numbers of a player and the layout they call for."""
     bat = batting_summary(ws).select(F.col("batter_id").alias("person_id"), "runs", F.col("strike_rate").alias("bat_sr"), F.col("average").alias("bat_avg"))
     bowl = bowling_summary(ws).select(F.col("bowler_id").alias("person_id"), "wickets", "economy", F.col("average").alias("bowl_avg"))
-    return primary_role(ws).join(bat, "person_id", "left").join(bowl, "person_id", "left").withColumn(
-        "layout", F.when(F.col("role") == "all-rounder", "both").when(F.col("role") == "bowler", "bowling").otherwise("batting"))
+    return primary_role(ws, min_each).join(bat, "person_id", "left").join(bowl, "person_id", "left").withColumn(
+        "layout", F.when(F.col("allrounder"), "both").when(F.col("role") == "bowler", "bowling").otherwise("batting"))

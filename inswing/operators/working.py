@@ -352,7 +352,7 @@ def battles(ws: Workspace) -> DataFrame:
         F.avg((F.col("phase") == "death").cast("double")).alias("death_share"),
         F.avg((F.col("format_group") == "T20").cast("double")).alias("t20_share"),
         F.array_sort(F.collect_set("format_group")).alias("formats"),
-        F.slice(F.array_sort(F.collect_set("competition")), 1, 5).alias("competitions"),
+        F.array_sort(F.collect_set("competition")).alias("competitions"),
         F.min("batter").alias("batter_name"), F.min("bowler").alias("bowler_name"),
         F.sum(F.col("striker_credited").cast("int")).alias("outs"),
     ).filter(F.col("balls") >= BATTLE_MIN_BALLS)
