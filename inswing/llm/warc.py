@@ -60,7 +60,6 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     read = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), payload.alias("payload"))
     facts = stage(read.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"),
                               F.octet_length("payload").cast("long").alias("size")), "warc-facts")
-    # nulls sort below every id, so max_by over (id is there, id) takes an id where there is one
     first = stage(facts.groupBy("digest").agg(F.max("page_id").alias("holder")), "warc-holders")
     url_of = stage(
         facts.join(first, (facts["digest"] == first["digest"]) & facts["page_id"].eqNullSafe(first["holder"]))
@@ -71,10 +70,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     (facts.join(known, "digest").withColumn("kind", kind)
      .select("page_id", "digest", header(F.col("page_id"), F.col("url"), F.col("kind"), F.col("sha1"), F.col("size"), F.col("holder"), F.col("holder_url")).alias("header"))
      .write.option("compression", "zstd").parquet(f"{path}/headers"))
-    held = first.select(F.col("digest").alias("d"), "holder")
-    bytes_of = read.select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
-    (bytes_of.join(held, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("holder")))
-     .select("digest", "payload").dropDuplicates(["digest"])
+    # sorted and thinned out in each task first; bytes are shuffled once
+    (read.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"])
      .write.option("compression", "zstd").parquet(f"{path}/payloads"))
 
 
