@@ -119,11 +119,14 @@ _BOWLD = {"batter_stage": "batter_stage", "defending": "CASE WHEN chasing THEN '
 
 
 def _states_sql(src: str, dims: dict, scale: str, band_expr: str, mode: str, n: str, r: str, o: str) -> str:
-    def sums(keys, extra=""):
-        return " UNION ALL ".join(f"SELECT {keys}, '{d}' AS dimension, {e} AS bucket, sum({n}) AS n, sum({r}) AS s, sum({r} * {r}) AS ss, sum({o}) AS outs FROM {src} GROUP BY ALL" for d, e in dims.items())
-    return f"""WITH me AS (SELECT * FROM ({sums('pid, format_group, gender')}) WHERE bucket IS NOT NULL AND n > 0),
-      peer AS (SELECT *, {scale} * s / n AS pm, 100e0 * outs / n AS pr FROM ({sums(f'format_group, gender, {band_expr} AS band')}) WHERE bucket IS NOT NULL AND n > 0),
-      mine AS (SELECT me.*, band, {scale} * s / n AS main, 100e0 * outs / n AS risk, {scale} * sqrt((CASE WHEN n > 1 THEN greatest(1e-9, (ss - n * (s::DOUBLE / n) * (s::DOUBLE / n)) / (n - 1)) END) / n) AS se
+    # every ball once with its buckets as a list; both sums read that one pass
+    buckets = ", ".join(f"{{'dimension': '{d}', 'bucket': {e}}}" for d, e in dims.items())
+    sums = "sum(n) AS n, sum(r) AS s, sum(r * r) AS ss, sum(o) AS outs"
+    return f"""WITH seen AS MATERIALIZED (SELECT pid, format_group, gender, {band_expr} AS band, {n} AS n, {r} AS r, {o} AS o, [{buckets}] AS bs FROM {src}),
+      long AS (SELECT pid, format_group, gender, band, n, r, o, b.dimension AS dimension, b.bucket AS bucket FROM (SELECT *, unnest(bs) AS b FROM seen)),
+      me AS MATERIALIZED (SELECT pid, format_group, gender, dimension, bucket, {sums} FROM long WHERE bucket IS NOT NULL GROUP BY ALL HAVING sum(n) > 0),
+      peer AS MATERIALIZED (SELECT *, {scale} * s / n AS pm, 100e0 * outs / n AS pr FROM (SELECT format_group, gender, band, dimension, bucket, {sums} FROM long WHERE bucket IS NOT NULL GROUP BY ALL HAVING sum(n) > 0)),
+      mine AS MATERIALIZED (SELECT me.*, band, {scale} * s / n AS main, 100e0 * outs / n AS risk, {scale} * sqrt((CASE WHEN n > 1 THEN greatest(1e-9, (ss - n * (s::DOUBLE / n) * (s::DOUBLE / n)) / (n - 1)) END) / n) AS se
                FROM me LEFT JOIN ({mode}) USING (pid, format_group, gender))
       SELECT m.pid, m.format_group, m.gender, m.band, m.dimension, m.bucket, m.n, m.outs, m.main, m.risk, m.main - {S.Z} * m.se AS main_lo, m.main + {S.Z} * m.se AS main_hi,
         100 * {S.wilson('m.outs', 'm.n', 'lo')} AS risk_lo, p.pm AS peer_main, (m.main - b.main) - (p.pm - q.pm) AS relative_main, (m.risk - b.risk) - (p.pr - q.pr) AS relative_risk,

@@ -3,10 +3,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from inswing.functions.special import beta_i, gamma_p
+
 Z90 = 1.6448536269514722
 Z99 = 2.576
 ERFC_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)  # Abramowitz and Stegun 7.1.26
@@ -85,31 +88,33 @@ def poisson_interval(k, z: float = Z90) -> Column:
                     F.when(k == 0, -math.log(1 - 0.90)).otherwise(edge(k + 1, 1)).alias("hi"))
 
 
+@F.pandas_udf(DoubleType())
+def _poisson_tail(k: pd.Series, rate: pd.Series) -> pd.Series:
+    k, rate = k.to_numpy(float), rate.to_numpy(float)
+    known = ~(np.isnan(k) | np.isnan(rate))
+    out = np.where(k <= 0, 1.0, 0.0)
+    some = known & (k > 0) & (rate > 0)
+    out[some] = gamma_p(np.floor(k[some]), rate[some])
+    return pd.Series(np.where(known, out, np.nan)).where(known)
+
+
 def poisson_tail(k, rate) -> Column:
-    """P(X >= k) for a Poisson count, by summing the terms below k."""
-    k, lam = (F.col(k) if isinstance(k, str) else k).cast("int"), _d(rate)
-    start = F.struct(F.exp(-lam).alias("term"), F.lit(0.0).alias("sum"))
-    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    below = F.aggregate(steps, start, lambda acc, i: F.struct((acc["term"] * lam / i).alias("term"),
-                                                              (acc["sum"] + acc["term"]).alias("sum")), lambda acc: acc["sum"])
-    return F.greatest(F.lit(1e-300), 1 - below)
+    """P(X >= k) for a Poisson count: the incomplete gamma function, which has no built-in, as an Arrow UDF over whole batches."""
+    return F.greatest(F.lit(1e-300), _poisson_tail(_d(k), _d(rate)))
 
 
 @F.pandas_udf(DoubleType())
 def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    def tail(k, n, p):
-        k, n = int(k), int(n)
-        if k <= 0 or p >= 1:
-            return 1.0
-        if p <= 0 or k > n:
-            return 0.0
-        a, b, top = math.log(p), math.log1p(-p), math.lgamma(n + 1)
-        return min(1.0, math.fsum(math.exp(top - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(k, n + 1)))
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else tail(a, b, c) for a, b, c in zip(k, n, p)], dtype="float64")
+    k, n, p = k.to_numpy(float), n.to_numpy(float), p.to_numpy(float)
+    known = ~(np.isnan(k) | np.isnan(n) | np.isnan(p))
+    out = np.where((k <= 0) | (p >= 1), 1.0, 0.0)
+    some = known & (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    out[some] = beta_i(np.floor(k[some]), np.floor(n[some]) - np.floor(k[some]) + 1, p[some])
+    return pd.Series(np.where(known, out, np.nan)).where(known)
 
 
 def binomial_tail(k, n, p) -> Column:
-    """P(X >= k) for a binomial count; the log factorials have no built-in, so this is an Arrow UDF."""
+    """P(X >= k) for a binomial count: the incomplete beta function, which has no built-in, as an Arrow UDF over whole batches."""
     return _binomial_tail(_d(k), _d(n), _d(p))
 
 

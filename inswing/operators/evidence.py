@@ -125,7 +125,7 @@ def story_splits(ws: Workspace) -> DataFrame:
 # ---------------------------------------------------------------- states
 
 BANDS = {"top": (1, 3), "middle": (4, 7), "lower": (8, 11)}  # fixed values: batting positions
-STATE_MIN = {"T20": 120, "ODI": 200}
+STATE_MIN = {"T20": 60, "ODI": 100}
 BAT_STATES = ["balls_faced", "wickets", "innings", "chase_state", "phase"]
 BOWL_STATES = ["batter_stage", "defending", "chase_state", "spell_over", "wickets", "phase"]
 
