@@ -52,20 +52,45 @@ add("T19_calibration_bins", "fmt bin:i n:i mean_p:f rate:f", f"WITH {_CTX}, {_PR
 add("M21_scoring_rules", "delivery_id inverse:f log:f flat:f confidence:f", f"""WITH {_CTX}, {_PRED} SELECT delivery_id, CASE WHEN r THEN 10 / m ELSE 0 END AS inverse, CASE WHEN r THEN 10 * log2(1 / m) ELSE 0 END AS log, CASE WHEN r THEN 10 ELSE 0 END AS flat,
     100 * (1 - s / 2) AS confidence FROM (SELECT *, list_max(pred) AS m, hit = list_max(pred) AS r, list_sum(list_transform(pred, lambda x: x * x)) - 2 * hit + 1 AS s FROM sc)""", lambda ws: NB.pick_scores(NB.scored(ws, _CUT)))
 _CELL = """(SELECT format_group, gender, ceil((innings_balls_limit - legal_balls_before) / 6e0)::INT AS overs_left, wickets_before AS wickets, avg(total_runs - score_before) AS r, count(*) AS n
-   FROM balls JOIN (SELECT match_id, total_runs FROM innings WHERE innings_no = 1) USING (match_id) WHERE innings_no = 1 AND legal AND method IS NULL GROUP BY 1, 2, 3, 4)"""
+   FROM balls JOIN (SELECT match_id, total_runs FROM innings WHERE innings_no = 1) USING (match_id) WHERE innings_no = 1 AND legal AND method IS NULL
+   AND innings_balls_limit = CASE format_group WHEN 'T20' THEN 120 ELSE 300 END AND start_date < DATE '2025-01-01' GROUP BY 1, 2, 3, 4)"""
 add("M06_resource_cells", "format_group gender overs_left:i wickets:i r:f n:i", f"SELECT * FROM {_CELL}", chase.cells)
-add("M07_resource_fit", "format_group gender wickets:i cells:i z0:f c:f", f"""SELECT format_group, gender, wickets, min(cells) AS cells, arg_min(z0, sse) AS z0, arg_min(c, sse) AS c FROM (
+_FIT = f"""SELECT format_group, gender, wickets, min(cells) AS cells, arg_min(z0, sse) AS z0, arg_min(c, sse) AS c FROM (
     SELECT format_group, gender, wickets, c, count(*) AS cells, sum(n * r * g) / sum(n * g * g) AS z0, sum(n * r * r) - sum(n * r * g) * sum(n * r * g) / sum(n * g * g) AS sse
-    FROM (SELECT *, 1 - exp(-overs_left / c) AS g FROM {_CELL} CROSS JOIN (SELECT pow(1.06e0, unnest(range(110))) AS c) WHERE n >= 20 AND wickets < 10 AND overs_left >= 1) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3) GROUP BY 1, 2, 3""",
-    lambda ws: chase.fit(chase.cells(ws), 20))
+    FROM (SELECT *, 1 - exp(-overs_left / c) AS g FROM {_CELL} CROSS JOIN (SELECT pow(1.06e0, unnest(range(110))) AS c) WHERE n >= 20 AND wickets < 10 AND overs_left >= 1) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3) GROUP BY 1, 2, 3"""
+add("M07_resource_fit", "format_group gender wickets:i cells:i z0:f c:f", _FIT, lambda ws: chase.fit(chase.cells(ws), 20))
+_EDGES = "[" + ", ".join(f"{e!r}e0" if "e" not in repr(e) else repr(e) for e in chase.DEMAND_EDGES) + "]"
+_TOP = len(chase.DEMAND_EDGES) - 2
+# resources wicket by wicket, then demand of every chase ball, then the monotone curve by the max-min formula
+_DEMAND = f"""fit AS MATERIALIZED ({_FIT}),
+  grid AS (SELECT format_group, gender, unnest(range(CASE format_group WHEN 'T20' THEN 21 ELSE 51 END)) AS ol FROM (SELECT DISTINCT format_group, gender FROM fit)),
+  res AS (SELECT g.*, 0 AS w, CASE WHEN ol = 0 THEN 0e0 ELSE coalesce(z0 * (1 - exp(-ol / c)), 0) END AS runs FROM grid g LEFT JOIN fit f ON f.format_group = g.format_group AND f.gender = g.gender AND f.wickets = 0
+    UNION ALL SELECT r.format_group, r.gender, r.ol, r.w + 1, least(r.runs, CASE WHEN r.ol = 0 THEN 0e0 ELSE coalesce(z0 * (1 - exp(-r.ol / c)), 0.6e0 * r.runs) END)
+    FROM res r LEFT JOIN fit f ON f.format_group = r.format_group AND f.gender = r.gender AND f.wickets = r.w + 1 WHERE r.w < 9),
+  dem AS MATERIALIZED (SELECT *, CASE WHEN runs_required <= 0 THEN 0 WHEN expected > 0.5 THEN runs_required / expected ELSE 99 END AS demand FROM (
+    SELECT b.delivery_id, b.match_id, b.seq, b.format_group, b.gender, b.start_date, b.legal, b.method, b.runs_required, b.winner <> b.batting_team AS failed,
+      x.runs + (y.runs - x.runs) * (balls_left % 6) / 6e0 AS expected FROM balls b
+    JOIN res x ON x.format_group = b.format_group AND x.gender = b.gender AND x.w = b.wickets_before AND x.ol = b.balls_left // 6
+    JOIN res y ON y.format_group = b.format_group AND y.gender = b.gender AND y.w = b.wickets_before AND y.ol = least(b.balls_left // 6 + 1, innings_balls_limit // 6)
+    WHERE chasing AND b.innings_no = 2 AND balls_left > 0)),
+  tagged AS (SELECT *, least(len(list_filter({_EDGES}, lambda e: e <= demand)) - 1, {_TOP}) AS bin FROM dem)"""
+_CURVE = f"""cnt AS MATERIALIZED (SELECT format_group, gender, bin, sum(failed::INT) AS f, count(*) AS n FROM tagged
+    WHERE legal AND method IS NULL AND failed IS NOT NULL AND runs_required > 0 AND start_date < DATE '2025-01-01' GROUP BY 1, 2, 3),
+  pair AS (SELECT a.format_group, a.gender, a.bin AS a, b.bin AS b, sum(m.f)::DOUBLE / sum(m.n) AS mean FROM cnt a JOIN cnt b USING (format_group, gender) JOIN cnt m USING (format_group, gender)
+    WHERE a.bin <= b.bin AND m.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2, 3, 4),
+  fitted AS (SELECT k.format_group, k.gender, k.bin, max((SELECT min(mean) FROM pair p WHERE p.format_group = k.format_group AND p.gender = k.gender AND p.a = s.bin AND p.b >= k.bin)) AS p
+    FROM cnt k JOIN cnt s ON s.format_group = k.format_group AND s.gender = k.gender AND s.bin <= k.bin GROUP BY 1, 2, 3),
+  curve AS MATERIALIZED (SELECT format_group, gender, bin, coalesce(n, 0) AS n, f::DOUBLE / n AS rate,
+      coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY format_group, gender ORDER BY bin), min(p) OVER (PARTITION BY format_group, gender)) AS p_fail
+    FROM (SELECT DISTINCT format_group, gender FROM cnt) CROSS JOIN (SELECT unnest(range({_TOP + 1})) AS bin) LEFT JOIN cnt USING (format_group, gender, bin) LEFT JOIN fitted USING (format_group, gender, bin))"""
 
 
 def _demand(ws):
     return chase.demand(ws, chase.table(ws.stage(chase.fit(chase.cells(ws), 20), "resource_fit")))
 
 
-add("M08_demand", "delivery_id expected:f demand:f", None, _demand)
-add("M09_failure_curve", "format_group gender bin:i n:i rate:f p_fail:f", None, lambda ws: chase.failure_curve(ws.stage(_demand(ws), "demand")))
+add("M08_demand", "delivery_id expected:f demand:f", f"WITH RECURSIVE {_DEMAND} SELECT delivery_id, expected, demand FROM dem", _demand)
+add("M09_failure_curve", "format_group gender bin:i n:i rate:f p_fail:f", f"WITH RECURSIVE {_DEMAND}, {_CURVE} SELECT * FROM curve", lambda ws: chase.failure_curve(ws.stage(_demand(ws), "demand")))
 
 
 def _swings(ws):
@@ -73,7 +98,8 @@ def _swings(ws):
     return chase.swings(d, ws.stage(chase.failure_curve(d), "curve"))
 
 
-add("E14_difficulty_swings", "match_id rank:i delivery_id sdx:f change:f", None, _swings)
+add("E14_difficulty_swings", "match_id rank:i delivery_id sdx:f change:f", f"""WITH RECURSIVE {_DEMAND}, {_CURVE} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY abs(change) DESC NULLS LAST, seq) AS rank FROM (
+    SELECT match_id, seq, delivery_id, 100 * p_fail AS sdx, round(lead(100 * p_fail) OVER (PARTITION BY match_id ORDER BY seq) - 100 * p_fail, 9) AS change FROM tagged LEFT JOIN curve USING (format_group, gender, bin))) WHERE rank <= 5""", _swings)
 add("M13_eligibility", "match_id status label:f", """SELECT match_id, CASE WHEN method = 'D/L' THEN 'method_dl' WHEN NOT (lb1 = f OR w1 > 9) THEN 'incomplete_first_innings'
     WHEN result IS NULL AND winner = bt1 AND NOT (lb2 = f OR w2 > 9) THEN 'inconsistent_second_innings' ELSE 'eligible' END AS status,
     CASE WHEN result = 'tie' THEN 0.5 WHEN winner = bt1 THEN 1 ELSE 0 END AS label

@@ -1,21 +1,23 @@
 """Difficulty of a chase: remaining-run resources, demand, probability of failing, and match eligibility."""
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inswing.plans.workspace import Workspace
 
 SCOPE = ["format_group", "gender"]
 GRID = [1.06 ** k for k in range(110)]  # fixed values: candidate decay constants, in overs
-MIN_CELL = 200
+MIN_CELL = 25
+CUTOFF = "2025-01-01"
+# fixed values: edges of the demand bins, twenty to a unit up to 3, then wider; the last is open
+DEMAND_EDGES = [round(0.05 * i, 2) for i in range(61)] + [3.5, 4.5, 6.0, 1e9]
 
 
-def cells(ws: Workspace) -> DataFrame:
-    """Mean runs still to come in first innings by overs left and wickets down."""
+def cells(ws: Workspace, before: str = CUTOFF) -> DataFrame:
+    """Mean runs still to come by overs left and wickets down, in full-length first innings before the cut-off."""
     total = ws["innings"].filter("innings_no = 1 and not super_over").select("match_id", "total_runs")
-    b = ws["balls"].filter("innings_no = 1 and legal and method is null and format_group in ('T20', 'ODI')").join(total, "match_id")
+    b = ws["balls"].filter("innings_no = 1 and legal and method is null and innings_balls_limit = if(format_group = 'T20', 120, 300) and format_group in ('T20', 'ODI')").filter(
+        F.col("start_date") < F.lit(before).cast("date")).join(total, "match_id")
     overs = F.ceil((F.col("innings_balls_limit") - F.col("legal_balls_before")) / 6.0).cast("int")
     return b.groupBy(*SCOPE, overs.alias("overs_left"), F.col("wickets_before").alias("wickets")).agg(
         F.avg(F.col("total_runs") - F.col("score_before")).alias("r"), F.count("*").alias("n"))
@@ -57,29 +59,38 @@ def demand(ws: Workspace, resources: DataFrame) -> DataFrame:
     e = F.col("e_lo") + (F.col("e_hi") - F.col("e_lo")) * F.col("part") / 6.0
     need = F.col("runs_required")
     return j.withColumn("expected", e).withColumn("demand", F.when(need <= 0, 0.0).when(F.col("expected") > 0.5, need / F.col("expected")).otherwise(99.0)).select(
-        "delivery_id", "match_id", "seq", *SCOPE, "start_date", "legal", "expected", "demand", (F.col("winner") != F.col("batting_team")).alias("failed"))
+        "delivery_id", "match_id", "seq", *SCOPE, "start_date", "legal", "method", "runs_required", "expected", "demand", (F.col("winner") != F.col("batting_team")).alias("failed"))
 
 
-def failure_curve(rows: DataFrame, bins: int = 64) -> DataFrame:
-    """P(the chase fails) by demand, binned and made monotone with MLlib's isotonic regression, per format and gender."""
-    d = rows.filter("failed is not null").withColumn("bin", F.least(F.floor(F.col("demand") * 16), F.lit(bins - 1)).cast("int")).groupBy(*SCOPE, "bin").agg(
-        F.avg(F.col("failed").cast("double")).alias("rate"), F.count("*").cast("double").alias("n"), F.avg("demand").alias("mid"))
-    out = None
-    for fmt, gender in (("T20", "male"), ("T20", "female"), ("ODI", "male"), ("ODI", "female")):
-        part = d.filter((F.col("format_group") == fmt) & (F.col("gender") == gender))
-        data = VectorAssembler(inputCols=["bin"], outputCol="x").transform(part)
-        if data.isEmpty():
-            continue
-        fitted = IsotonicRegression(featuresCol="x", labelCol="rate", weightCol="n", predictionCol="p_fail").fit(data).transform(data).drop("x")
-        out = fitted if out is None else out.unionByName(fitted)
-    return out
+def demand_bin() -> Column:
+    return F.least(F.size(F.filter(F.array(*map(F.lit, DEMAND_EDGES)), lambda e: e <= F.col("demand"))) - 1, F.lit(len(DEMAND_EDGES) - 2))
+
+
+def failure_curve(rows: DataFrame, before: str = CUTOFF) -> DataFrame:
+    """P(the chase fails) by bin of demand for every format and gender, made monotone; empty bins carry on the last value.
+
+    Trained on legal balls of decided chases without a method, before the cut-off. The monotone fit is the max-min formula over
+    at most 64 bins of a cohort: the largest over starts at or below a bin of the smallest mean over ends at or above it."""
+    train = rows.filter("legal and method is null and failed is not null and runs_required > 0").filter(F.col("start_date") < F.lit(before).cast("date"))
+    d = train.groupBy(*SCOPE, demand_bin().alias("bin")).agg(F.sum(F.col("failed").cast("long")).alias("f"), F.count("*").alias("n"))
+    upto = Window.partitionBy(*SCOPE).orderBy("bin")
+    d = d.withColumns({"sf": F.sum("f").over(upto), "sn": F.sum("n").over(upto)})
+    first = d.select(*SCOPE, F.col("bin").alias("a"), (F.col("sf") - F.col("f")).alias("f0"), (F.col("sn") - F.col("n")).alias("n0"))
+    last = d.select(*SCOPE, F.col("bin").alias("b"), "sf", "sn")
+    span = first.join(last, SCOPE).filter("a <= b").withColumn("mean", (F.col("sf") - F.col("f0")) / (F.col("sn") - F.col("n0")))
+    low = span.withColumn("low", F.min("mean").over(Window.partitionBy(*SCOPE, "a").orderBy(F.desc("b"))))
+    fitted = low.groupBy(*SCOPE, F.col("b").alias("bin")).agg(F.max("low").alias("p"))
+    bins = d.select(*SCOPE).distinct().select(*SCOPE, F.explode(F.sequence(F.lit(0), F.lit(len(DEMAND_EDGES) - 2))).alias("bin"))
+    all_ = bins.join(fitted, [*SCOPE, "bin"], "left").join(d.select(*SCOPE, "bin", "n", (F.col("f") / F.col("n")).alias("rate")), [*SCOPE, "bin"], "left")
+    p = F.coalesce(F.last("p", ignorenulls=True).over(upto), F.min("p").over(Window.partitionBy(*SCOPE)))
+    return all_.select(*SCOPE, "bin", F.coalesce("n", F.lit(0)).alias("n"), "rate", p.alias("p_fail"))
 
 
 def swings(rows: DataFrame, curve: DataFrame, k: int = 5) -> DataFrame:
     """Difficulty 0-100 of every chase ball and the largest changes from one ball to the next."""
-    s = rows.withColumn("bin", F.least(F.floor(F.col("demand") * 16), F.lit(63)).cast("int")).join(curve.select(*SCOPE, "bin", "p_fail"), [*SCOPE, "bin"])
+    s = rows.withColumn("bin", demand_bin()).join(curve.select(*SCOPE, "bin", "p_fail"), [*SCOPE, "bin"], "left")
     w = Window.partitionBy("match_id").orderBy("seq")
-    s = s.withColumn("sdx", 100 * F.col("p_fail")).withColumn("change", F.lead("sdx").over(w) - F.col("sdx"))
+    s = s.withColumn("sdx", 100 * F.col("p_fail")).withColumn("change", F.round(F.lead("sdx").over(w) - F.col("sdx"), 9))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc_nulls_last(F.abs("change")), "seq"))).filter(F.col("rank") <= k)
 
 
