@@ -65,6 +65,11 @@ SELECT * FROM (
   FROM counted WHERE wickets_before < 10 AND legal_balls_before < lim)
 WHERE target_runs IS NULL OR score_before < target_runs
 """
+TABLES["left_over_lines"] = """
+SELECT match_id, innings_no, l_orderkey, l_linenumber,
+  CASE WHEN legal_balls_before >= lim THEN 'overs bowled' WHEN wickets_before >= 10 THEN 'all out' ELSE 'target reached' END AS left_over
+FROM counted ANTI JOIN played USING (match_id, innings_no, seq)
+"""
 TABLES["placed"] = """
 SELECT *, over_no AS over, CASE WHEN innings_no = 1 THEN t1 ELSE t2 END AS bat_t, CASE WHEN innings_no = 1 THEN t2 ELSE t1 END AS bowl_t,
   wickets_before + CASE WHEN kind <> 'run out' OR seq % 2 = 1 THEN 1 ELSE 2 END AS bat_pos,

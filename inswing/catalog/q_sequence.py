@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inswing.catalog.registry import add, query
+from inswing.sources.fixture import reconciliation
 
 
 def table(name: str, relation: str, spec: str, select: str | None = None) -> None:
@@ -54,3 +55,9 @@ table("D27_team_results", "team_results", "match_id ta tb winner_c i1_team i1_ru
 add("D28_player_profile", "person_id name team_list genders first_match:d last_match:d matches:i batting_hand bowling_arm bowling_family bowling_style",
     "SELECT *, array_to_string(teams, ',') AS team_list, gender AS genders FROM player_profile",
     lambda ws: ws["player_profile"].withColumn("team_list", F.array_join("teams", ",")).withColumn("genders", F.array_join("genders", ",")))
+
+add("S21_left_over_lines", "match_id innings_no:i l_orderkey:i l_linenumber:i left_over", "SELECT * FROM left_over_lines",
+    lambda ws: ws["left_over_lines"].select("match_id", "innings_no", "at.l_orderkey", "at.l_linenumber", "left_over"))
+add("S21_line_reconciliation", "what n:i", """SELECT 'lines' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'balls', count(*) FROM deliveries
+    UNION ALL SELECT left_over, count(*) FROM left_over_lines GROUP BY 1 UNION ALL SELECT 'missing', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM deliveries) - (SELECT count(*) FROM left_over_lines)""",
+    reconciliation)

@@ -93,8 +93,8 @@ def _lines(ws: Workspace) -> DataFrame:
     )
 
 
-def _cut_long_innings(lines: DataFrame) -> DataFrame:
-    """Drop what follows the last legal ball an innings can hold.
+def _with_last_place(lines: DataFrame) -> DataFrame:
+    """Lines with the place of the last legal ball their innings can hold, null where it does not hold so many.
 
     Only innings with enough legal balls are ordered, and for them the row_number filter is pushed below the shuffle as
     a per-task limit, so an innings that holds a large share of the table sends only a few hundred rows per task.
@@ -109,19 +109,15 @@ def _cut_long_innings(lines: DataFrame) -> DataFrame:
         .filter(F.col("n") == limit)
         .select("match_id", "innings_no", F.col("at").alias("last_at"))
     )
-    return (
-        lines.join(last, ["match_id", "innings_no"], "left")
-        .filter(F.col("last_at").isNull() | (F.col("at") <= F.col("last_at")))
-        .drop("last_at")
-    )
+    return lines.join(last, ["match_id", "innings_no"], "left")
 
 
-@relation("ball_facts")
-def ball_facts(ws: Workspace) -> DataFrame:
-    """Deliveries with their context, plus the kind of wicket and the fielder's number."""
+def _played(ws: Workspace) -> DataFrame:
+    """Lines up to the last legal ball of their innings with what happened before each, and why a line is no ball: `left_over`."""
     inn = Window.partitionBy("match_id", "innings_no").orderBy("at")
     prev = before("match_id", "innings_no", order="at")
     whole = Window.partitionBy("match_id")
+    c = F.col
 
     def run(x: Column) -> Column:
         return F.coalesce(F.sum(x).over(prev), F.lit(0)).cast("int")
@@ -129,16 +125,41 @@ def ball_facts(ws: Workspace) -> DataFrame:
     wkt = F.col("kind").isNotNull().cast("int")
     limit = F.when(F.col("format_group") == "ODI", 300).otherwise(120)
     extras = F.col("wides") + F.col("noballs") + F.col("byes")
-    rows = _cut_long_innings(_lines(ws)).repartition("match_id").withColumns({
+    lines = _with_last_place(_lines(ws)).filter(c("last_at").isNull() | (c("at") <= c("last_at"))).drop("last_at")
+    rows = lines.repartition("match_id").withColumns({
         "runs_extras": extras.cast("int"), "runs_total": (F.col("runs_batter") + extras).cast("int"),
         "dismissals": wkt, "departures": wkt, "limit_balls": limit})
     rows = rows.withColumns({
         "seq": F.row_number().over(inn).cast("int"), "w0": run(F.col("dismissals")),
         "l0": run(F.col("legal").cast("int")), "s0": run(F.col("runs_total")),
-    }).filter((F.col("w0") < 10) & (F.col("l0") < F.col("limit_balls")))
-    target = F.sum(F.when(F.col("innings_no") == 1, F.col("runs_total"))).over(whole) + 1
-    rows = rows.withColumn("target_runs", F.when(F.col("innings_no") == 2, target).cast("int")).filter(
-        F.col("target_runs").isNull() | (F.col("s0") < F.col("target_runs")))
+    }).withColumn("left_over", F.when(c("l0") >= c("limit_balls"), "overs bowled").when(c("w0") >= 10, "all out"))
+    target = F.sum(F.when((c("innings_no") == 1) & c("left_over").isNull(), c("runs_total"))).over(whole) + 1
+    rows = rows.withColumn("target_runs", F.when(c("innings_no") == 2, target).cast("int"))
+    return rows.withColumn("left_over", F.coalesce("left_over", F.when(c("s0") >= c("target_runs"), "target reached")))
+
+
+@relation("left_over_lines")
+def left_over_lines(ws: Workspace) -> DataFrame:
+    """The lines that are no balls, each with the reason: its innings was over before it."""
+    after = _with_last_place(_lines(ws)).filter(F.col("at") > F.col("last_at")).withColumn("left_over", F.lit("overs bowled"))
+    keep = ["match_id", "innings_no", "at", "left_over"]
+    return after.select(*keep).unionByName(_played(ws).filter("left_over is not null").select(*keep))
+
+
+def reconciliation(ws: Workspace) -> DataFrame:
+    """Lines, balls, and what is left over by reason; `missing` is what none of them accounts for, and must be zero."""
+    def counted(df: DataFrame, what: Column) -> DataFrame:
+        return df.groupBy(what.alias("what")).agg(F.count("*").alias("n"))
+    parts = counted(ws.source("lineitem"), F.lit("lines")).unionByName(counted(ws["deliveries"], F.lit("balls"))).unionByName(
+        counted(ws["left_over_lines"], F.col("left_over")))
+    sign = F.when(F.col("what") == "lines", F.col("n")).otherwise(-F.col("n"))
+    return parts.unionByName(parts.agg(F.sum(sign).alias("n")).select(F.lit("missing").alias("what"), "n"))
+
+
+@relation("ball_facts")
+def ball_facts(ws: Workspace) -> DataFrame:
+    """Deliveries with their context, plus the kind of wicket and the fielder's number."""
+    rows = _played(ws).filter("left_over is null").drop("left_over")
     attrs = match_columns(F.col("match_no"))
     first = F.col("innings_no") == 1
     credited = F.col("kind").isNotNull() & (F.col("kind") != "run out")
