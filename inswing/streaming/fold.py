@@ -93,20 +93,31 @@ def _number(x):
 
 
 def fold_live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """As fold_match, for an endless feed: the state of a match idle for a day is dropped."""
+    """As fold_match, for an endless feed. Only a match that has ended can expire, a day after its last event; a tombstone stays.
+
+    What comes for a match behind its tombstone is refused: it changes nothing, and a row without an innings says how many
+    events were refused so far, with the version the match ended on."""
+    held = json.loads(state.get[0]) if state.exists else {}
     if state.hasTimedOut:
-        state.remove()
+        state.update((json.dumps({"tombstone": held["version"], "refused": 0}),))
+        return
+    if "tombstone" in held:
+        held["refused"] += sum(len(frame) for frame in batches)
+        state.update((json.dumps(held),))
+        gone = dict.fromkeys(c.split()[0] for c in OUTPUT.split(", ")) | {
+            "match_id": key[0], "anomalies": held["refused"], "closed": True, "version": held["tombstone"]}
+        yield pd.DataFrame([gone]).astype({c: "Int64" for c in ("innings", "runs", "wickets", "legal_balls", "extras", "fours", "sixes", "stand_runs", "stand_balls", "open_corrections")})
         return
     yield from fold_match(key, batches, state)
-    state.setTimeoutDuration(IDLE_MS)
+    if any(e["kind"] == "match_end" for e in json.loads(state.get[0])["events"].values()):
+        state.setTimeoutDuration(IDLE_MS)
 
 
 def fold_match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Merge a batch of one match's events into its state and emit every innings."""
     held = json.loads(state.get[0]) if state.exists else {"events": {}, "corrections": {}, "digests": {}, "anomalies": 0, "snaps": [], "version": 0}
-    changed: list | None = None
+    was, _ = corrected(held["events"], held["corrections"])
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["seq", "event_id"], kind="stable").to_dict("records")
-    full = False
     for r in rows:
         r = {k: _number(v) for k, v in r.items()}
         ball = [int(r[c]) if c in RUNS and r[c] is not None else r[c] for c in BALL]
@@ -120,13 +131,13 @@ def fold_match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
         held["digests"][r["event_id"]] = [digest, seq]
         if r["kind"] == "correction":
             held["corrections"][r["event_id"]] = {"op": r["op"], "target": r["target_event_id"], "new": r["new_event_id"], "ball": ball, "seq": seq}
-            full = True
         else:
             at = [int(r[c]) if r[c] is not None else -1 for c in ("innings", "over", "idx")]
             held["events"][r["event_id"]] = {"kind": r["kind"], "at": at, "ball": ball}
-            changed = at if changed is None or at < changed else changed
     live, waiting = corrected(held["events"], held["corrections"])
-    innings, held["snaps"] = refold(live, held["snaps"], None if full or held["corrections"] else changed)
+    # the first place that this batch changed; snapshots ahead of it stay, whatever has been corrected
+    moved = [v["at"] for k, v in live.items() if was.get(k) != v] + [v["at"] for k, v in was.items() if k not in live]
+    innings, held["snaps"] = refold(live, held["snaps"], min(moved, default=[float("inf")]))
     held["version"] += 1
     state.update((json.dumps(held),))
     done = {v["at"][0] for v in live.values() if v["kind"] == "innings_end"}

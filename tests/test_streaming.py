@@ -65,3 +65,41 @@ def test_conflicting_copy_is_counted_and_the_first_kept():
 def test_late_event_restarts_from_a_snapshot():
     late = [r for r in FEED if r["event_id"] != "b13"]
     assert run([late, [FEED[13]]]).state_hash == run([FEED]).state_hash
+
+
+class Timed(Held):
+    timeout = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def live(state, rows):
+    return [r for frame in fold.fold_live(("m",), iter([pd.DataFrame(rows)]), state) for r in frame.to_dict("records")]
+
+
+def test_only_an_ended_match_expires_and_then_never_publishes():
+    state = Timed()
+    before = live(state, FEED)
+    assert state.timeout is None  # a match may rest overnight
+    more = live(state, [ball(30, 4)])
+    assert more[-1]["runs"] == before[-1]["runs"] + 4
+    live(state, [ball(99, None, event_id="end", kind="match_end", innings=99, over=None, idx=None)])
+    assert state.timeout == fold.IDLE_MS
+    state.hasTimedOut = True
+    assert list(fold.fold_live(("m",), iter([]), state)) == []
+    state.hasTimedOut = False
+    late = live(state, [ball(31, 6), ball(32, 6)])
+    assert len(late) == 1 and late[0]["anomalies"] == 2 and late[0]["closed"] and pd.isna(late[0]["runs"])
+
+
+def test_snapshots_survive_a_correction():
+    import json
+
+    state = Held()
+    fix = ball(20, 4, event_id="c1", kind="correction", op="update", target_event_id="b20", seq=90)
+    for rows in (FEED, [fix], [ball(30, 1)]):
+        out = list(fold.fold_match(("m",), iter([pd.DataFrame(rows)]), state))[-1].iloc[-1]
+    clean = [({**r, "runs_batter": 4} if r["event_id"] == "b20" else r) for r in FEED] + [ball(30, 1)]
+    assert out.state_hash == run([clean]).state_hash
+    assert [x[0][1] for x in json.loads(state.value[0])["snaps"]][:3] == [0, 1, 2]
