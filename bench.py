@@ -29,8 +29,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ws = workspace(spark, path)
     t0 = time.time()
-    for name in TABLES:
-        ws[name]
+    ws.prepare(TABLES)
     seconds = {"build": round(time.time() - t0, 3)}
     for name in HEADLINES:
         best = None

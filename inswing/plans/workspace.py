@@ -10,6 +10,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,8 @@ class Workspace:
         self.given = dict(given or {})
         self.root = f"{shared_folder(spark)}/inswing-{uuid.uuid4().hex[:12]}"
         self._ready: dict[str, DataFrame] = {}
-        self._lock = threading.RLock()
+        self._guard = threading.Lock()
+        self._locks: dict[str, threading.RLock] = {}
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.inputs}/{name}.parquet")
@@ -49,7 +51,9 @@ class Workspace:
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.given:
             return self.given[name]
-        with self._lock:
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.RLock())
+        with lock:  # relations depend on each other without cycles, so locks are always taken in one order
             if name not in self._ready:
                 builder, parts = BUILDERS[name]
                 path = f"{self.root}/{name}"
@@ -58,6 +62,12 @@ class Workspace:
                 self._ready[name] = self.spark.read.parquet(path)
             return self._ready[name]
 
+    def prepare(self, names: list[str], threads: int = 4) -> None:
+        """Build several relations side by side: while one waits for its last tasks, another uses the free slots."""
+        with ThreadPoolExecutor(threads) as pool:
+            for done in [pool.submit(self.__getitem__, n) for n in names]:
+                done.result()
+
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write an intermediate result that several branches of a query read, and return a scan of it."""
         path = f"{self.root}/stage/{name}-{uuid.uuid4().hex[:12]}"
