@@ -19,25 +19,31 @@ _CAND = f"""(SELECT *, n * bo / bn AS expected, {S.poisson_tail('outs', '(n * bo
 add("G01_matchup_candidates", "batter_id bowler_id format_group gender what n:i outs:i expected:f p:f", f"""SELECT *, CASE WHEN what = 'dismissals' THEN tail ELSE pz END AS p FROM (
     SELECT *, CASE WHEN outs >= 2 AND outs >= 1.5 * expected THEN 'dismissals' WHEN d > 0 AND pz < 0.0027 AND outs <= greatest(1, expected * 0.5) AND n >= 30 THEN 'scoring' END AS what FROM (SELECT *, {S.two_sided('(d / se)')} AS pz FROM {_CAND})) WHERE what IS NOT NULL""",
     lambda ws: G.matchup_candidates(ws, 20, 80, 2, 1.5))
-add("G02_route_candidates", "player_out_id gender format_group route k:i n:i share:f p:f", """
+_ROUTES = "(" + ", ".join(f"'{r}'" for r in G.ROUTES) + ")"
+add("G02_route_candidates", "player_out_id gender format_group route k:i n:i share:f p:f", f"""
   SELECT *, least(1e0, list_sum(list_transform(range(k::INT, n::INT + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share))))) AS p FROM (
-    SELECT player_out_id, gender, format_group, route, count(*) AS k, sum(count(*)) OVER (PARTITION BY player_out_id, gender, format_group) AS n FROM dis GROUP BY 1, 2, 3, 4)
-  JOIN (SELECT gender, format_group, route, 1e0 * count(*) / sum(count(*)) OVER (PARTITION BY gender, format_group) AS share FROM dis GROUP BY 1, 2, 3) USING (gender, format_group, route) WHERE n >= 15 AND 1e0 * k / n >= 1.6 * share""",
-    lambda ws: G.route_candidates(ws, 15))
-add("G03_partnership_candidates", "gender format_group p1 p2 stands:i mean_runs:f expected:f p:f", f"""SELECT *, {S.two_sided('((mean_runs - expected) / (expected / sqrt(stands)))')} AS p FROM (
-    SELECT gender, format_group, p1, p2, count(*) AS stands, avg(runs) AS mean_runs, avg(typical) AS expected FROM (SELECT *, avg(runs) OVER (PARTITION BY gender, format_group, wicket_no) AS typical FROM partnerships) GROUP BY 1, 2, 3, 4)
-  WHERE stands >= 3 AND mean_runs >= 1.3 * expected""", lambda ws: G.partnership_candidates(ws, 3, 1.3))
-add("G05_year_candidates", "batter_id format_group year:i n:i n_past:i change:f p:f", f"""SELECT *, 100 * (s::DOUBLE / n - sp::DOUBLE / n_past) AS change, {S.two_sided(f"((s::DOUBLE / n - sp::DOUBLE / n_past) / {S.mean_se('s', 'q', 'n', 'sp', 'qp', 'n_past')})")} AS p FROM (
-    SELECT *, sum(n) OVER w AS n_past, sum(s) OVER w AS sp, sum(q) OVER w AS qp FROM (SELECT batter_id, format_group, year, count(*) AS n, sum(runs_batter) AS s, sum(runs_batter * runs_batter) AS q FROM balls WHERE faced GROUP BY 1, 2, 3)
-    WINDOW w AS (PARTITION BY batter_id, format_group ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE n >= 30 AND n_past >= 30""", lambda ws: G.year_candidates(ws, 30))
-add("G06_within_reach", "gender format_group what person_id v:i lead:i", """SELECT * FROM (SELECT *, max(v) OVER w AS lead, max(last) OVER w AS latest FROM (
-    SELECT gender, format_group, 'runs' AS what, batter_id AS person_id, sum(runs) AS v, max(year) AS last FROM bat_innings GROUP BY 1, 2, 4 UNION ALL SELECT gender, format_group, 'wickets', bowler_id, sum(wickets), max(year) FROM bowl_innings GROUP BY 1, 2, 4)
-    WINDOW w AS (PARTITION BY gender, format_group, what)) WHERE v < lead AND v >= 0.92 * lead AND last >= latest - 1""", G.within_reach)
-add("G10_did_not_know", "batter_id format_group year:i", f"""WITH t AS (SELECT *, {S.two_sided(f"((s::DOUBLE / n - sp::DOUBLE / n_past) / {S.mean_se('s', 'q', 'n', 'sp', 'qp', 'n_past')})")} AS p FROM (
-    SELECT *, sum(n) OVER w AS n_past, sum(s) OVER w AS sp, sum(q) OVER w AS qp FROM (SELECT batter_id, format_group, year, count(*) AS n, sum(runs_batter) AS s, sum(runs_batter * runs_batter) AS q FROM balls WHERE faced GROUP BY 1, 2, 3)
-    WINDOW w AS (PARTITION BY batter_id, format_group ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE n >= 30 AND n_past >= 30)
+    SELECT *, sum(k) OVER (PARTITION BY player_out_id, format_group) AS n FROM (SELECT player_out_id, gender, format_group, route, count(*) AS k FROM dis WHERE counts_as_dismissal AND {BOTH_MAJOR} GROUP BY 1, 2, 3, 4))
+  JOIN (SELECT gender, format_group, route, 1e0 * count(*) / sum(count(*)) OVER (PARTITION BY gender, format_group) AS share FROM dis WHERE counts_as_dismissal AND batter_position <= 7 AND {BOTH_MAJOR} GROUP BY 1, 2, 3)
+  USING (gender, format_group, route) WHERE route IN {_ROUTES} AND n >= 15 AND k >= 3 AND 1e0 * k / n >= 1.4 * share""", lambda ws: G.route_candidates(ws, 15, 3, 1.4))
+add("G03_partnership_candidates", "gender format_group p1 p2 stands:i average:f typical:f p:f", f"""SELECT *, {S.two_sided('((average - typical) / (typical / sqrt(w1)))')} AS p FROM (
+    SELECT *, runs::DOUBLE / w1 AS average FROM (SELECT gender, format_group, p1, p2, count(*) AS stands, sum(balls) AS balls, sum(runs) AS runs, greatest(1, sum((ended = 'wicket')::INT)) AS w1 FROM partnerships WHERE {BOTH_MAJOR} GROUP BY 1, 2, 3, 4)
+    JOIN (SELECT gender, format_group, sum(runs)::DOUBLE / sum((ended = 'wicket')::INT) AS typical FROM partnerships WHERE {BOTH_MAJOR} GROUP BY 1, 2) USING (gender, format_group))
+  WHERE stands >= 3 AND balls >= 30 AND average >= 1.2 * typical""", lambda ws: G.partnership_candidates(ws, 3, 30, 1.2))
+_YEARS = f"""(SELECT *, s::DOUBLE / n - sp::DOUBLE / n_past AS d, {S.mean_se('s', 'q', 'n', 'sp', 'qp', 'n_past')} AS se FROM (
+    SELECT *, row_number() OVER (PARTITION BY batter_id, format_group, gender ORDER BY year DESC) AS pick FROM (
+      SELECT *, sum(n) OVER w AS n_past, sum(s) OVER w AS sp, sum(q) OVER w AS qp, max(year) OVER () AS latest FROM (
+        SELECT batter_id, format_group, gender, year, count(*) AS n, sum(runs_batter) AS s, sum(runs_batter * runs_batter) AS q FROM balls WHERE faced AND {BOTH_MAJOR} GROUP BY 1, 2, 3, 4)
+      WINDOW w AS (PARTITION BY batter_id, format_group, gender ORDER BY year RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE year >= latest - 1 AND n >= 20) WHERE pick = 1 AND n_past >= 30)"""
+_CHANGED = f"(SELECT *, 100 * d AS change, {S.two_sided('(d / se)')} AS p FROM {_YEARS} WHERE abs(d) >= 0.5 * se AND abs(d) >= 0.05)"
+_years = lambda ws: G.year_candidates(ws, 20, 30, 0.5, 0.05, 2000)
+add("G05_year_candidates", "batter_id format_group gender year:i n:i n_past:i change:f p:f", f"SELECT * FROM {_CHANGED}", _years)
+add("G06_within_reach", "competition what person_id v:i lead:i", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competition, what ORDER BY v DESC, person_id) AS rank, max(v) OVER (PARTITION BY competition, what) AS lead, max(last) OVER (PARTITION BY competition) AS latest FROM (
+    SELECT competition, batter_id AS person_id, 'runs' AS what, sum(runs_batter) AS v, max(year) AS last FROM balls WHERE competition IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT competition, batter_id, 'sixes', sum(is_six::INT), max(year) FROM balls WHERE competition IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 6 AND last = latest AND v < lead AND lead - v <= 0.2 * lead""",
+    lambda ws: G.within_reach(ws, ("League A", "Cup"), 0.2))
+add("G10_did_not_know", "batter_id format_group year:i", f"""WITH t AS (SELECT * FROM {_CHANGED})
   SELECT * FROM t JOIN (SELECT format_group, max(p) AS edge FROM (SELECT format_group, p, count(*) OVER (PARTITION BY format_group ORDER BY p) AS r, count(*) OVER (PARTITION BY format_group) AS m FROM t) WHERE p <= 0.4 * r / m GROUP BY 1) USING (format_group) WHERE p <= edge""",
-    lambda ws: G.did_not_know(ws.stage(G.year_candidates(ws, 30), "years"), ["format_group"], 0.4))
+    lambda ws: G.did_not_know(ws.stage(_years(ws), "years"), ["format_group"], 0.4))
 add("G17_player_index", "person_id what rank:i key", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id, what ORDER BY v DESC, t, key) AS rank FROM (
     SELECT batter_id AS person_id, 'innings' AS what, match_id || '|' || innings_no AS key, runs AS v, balls AS t FROM bat_innings UNION ALL SELECT bowler_id, 'spell', match_id || '|' || innings_no, wickets, runs FROM bowl_innings
     UNION ALL SELECT a, 'partner', b, sum(runs), 0 FROM (SELECT p1 AS a, p2 AS b, runs FROM partnerships UNION ALL SELECT p2, p1, runs FROM partnerships) GROUP BY 1, 3)) WHERE rank <= CASE what WHEN 'innings' THEN 3 WHEN 'spell' THEN 2 ELSE 4 END""", G.player_index)

@@ -172,14 +172,14 @@ for _mt, _f in (("out_rate", "outs"), ("bnd_rate", "bnd"), ("dot_rate", "dots"))
     _ty = f"((li_{_f}::DOUBLE / greatest(li_n, 1)) / nullif(lo_{_f}::DOUBLE / greatest(lo_n, 1), 0))"
     _rest = f"(out_{_f}::DOUBLE / out_n)"
     _tests.append(f"""SELECT batter_id, format_group, gender, band, split, in_n, out_n, '{_mt}' AS metric, 'rate' AS kind, 1e0 AS nul, nullif({_ty}, 0) AS typical,
-      ((in_{_f} + 100e0 * ({_rest} * {_ty})) / (in_n + 100) / CASE WHEN out_{_f} > 0 THEN {_rest} ELSE 1e-9 END) / {_ty} AS effect,
+      ((in_{_f} + {E.K_SHRINK}e0 * ({_rest} * {_ty})) / (in_n + {E.K_SHRINK}) / CASE WHEN out_{_f} > 0 THEN {_rest} ELSE 1e-9 END) / {_ty} AS effect,
       {S.ratio(*_a)} * exp(-{S.Z} * {S.ratio_se(*_a)}) / {_ty} AS lo, {S.ratio(*_a)} * exp({S.Z} * {S.ratio_se(*_a)}) / {_ty} AS hi,
       {S.two_sided(f'(ln({S.ratio(*_a)} / nullif({_ty}, 0)) / {S.ratio_se(*_a)})')} AS p FROM judged""")
 _se = S.mean_se("in_runs", "in_ss", "in_n", "out_runs", "out_ss", "out_n")
 _ty = "(li_runs::DOUBLE / nullif(li_n, 0) - lo_runs::DOUBLE / nullif(lo_n, 0))"
 _df = "(in_runs::DOUBLE / in_n - out_runs::DOUBLE / out_n)"
 _tests.append(f"""SELECT batter_id, format_group, gender, band, split, in_n, out_n, 'sr', 'mean', 0e0, 100 * {_ty},
-   100 * ((in_runs + 100e0 * (out_runs::DOUBLE / out_n + {_ty})) / (in_n + 100) - out_runs::DOUBLE / out_n) - 100 * {_ty}, 100 * ({_df} - {S.Z} * {_se} - {_ty}), 100 * ({_df} + {S.Z} * {_se} - {_ty}),
+   100 * ((in_runs + {E.K_SHRINK}e0 * (out_runs::DOUBLE / out_n + {_ty})) / (in_n + {E.K_SHRINK}) - out_runs::DOUBLE / out_n) - 100 * {_ty}, 100 * ({_df} - {S.Z} * {_se} - {_ty}), 100 * ({_df} + {S.Z} * {_se} - {_ty}),
    {S.two_sided(f'(({_df} - {_ty}) / {_se})')} FROM judged""")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inswing.functions.columns import ranked, ratio
-from inswing.functions.stats import benjamini_hochberg, binomial_tail, mean_diff, poisson_tail, two_sided
+from inswing.functions.stats import Z90, benjamini_hochberg, binomial_tail, mean_diff, poisson_tail, two_sided
 from inswing.plans.filters import major
 from inswing.plans.workspace import Workspace
 
@@ -34,42 +34,63 @@ def matchup_candidates(ws: Workspace, min_pair: int = 60, min_batter: int = 500,
     return p.withColumn("what", F.when(many, "dismissals").when(fast, "scoring")).filter("what is not null").withColumn("p", F.when(many, c("tail")).otherwise(c("z.p"))).drop("z", "tail")
 
 
-def route_candidates(ws: Workspace, min_outs: int = 30, ratio_min: float = 1.6) -> DataFrame:
-    """Players who get out one way far more often than others do (binomial tail against the pool's share)."""
-    rows = ws["dis"].filter("counts_as_dismissal").groupBy("player_out_id", "gender", "format_group", "route").agg(F.count("*").alias("k"))
-    own = Window.partitionBy("player_out_id", "gender", "format_group")
-    pool = rows.groupBy("gender", "format_group", "route").agg(F.sum("k").alias("pk"))
+ROUTES = ("BOWLED", "LBW", "CAUGHT_KEEPER", "STUMPED", "RUN_OUT", "CAUGHT_BOWLER")  # fixed values: routes that say something about a batter
+
+
+def route_candidates(ws: Workspace, min_outs: int = 30, min_route: int = 6, ratio_min: float = 1.8) -> DataFrame:
+    """Players who get out one way far more often than batters at positions 1 to 7 do (binomial tail against their share)."""
+    d = ws["dis"].filter("counts_as_dismissal").filter(major("batting_team", "bowling_team"))
+    pool = d.filter("batter_position <= 7").groupBy("gender", "format_group", "route").agg(F.count("*").alias("pk"))
     pool = pool.withColumn("share", c("pk") / F.sum("pk").over(Window.partitionBy("gender", "format_group")))
-    j = rows.withColumn("n", F.sum("k").over(own)).filter(c("n") >= min_outs).join(pool, ["gender", "format_group", "route"])
+    rows = d.groupBy("player_out_id", "gender", "format_group", "route").agg(F.count("*").alias("k"))
+    rows = rows.withColumn("n", F.sum("k").over(Window.partitionBy("player_out_id", "format_group")))
+    j = rows.filter(c("route").isin(*ROUTES) & (c("n") >= min_outs) & (c("k") >= min_route)).join(pool, ["gender", "format_group", "route"])
     return j.filter(c("k") / c("n") >= ratio_min * c("share")).withColumn("p", binomial_tail("k", "n", "share"))
 
 
-def partnership_candidates(ws: Workspace, min_stands: int = 10, lift: float = 1.8) -> DataFrame:
-    """Pairs whose average stand is far above the average of their side's other stands at the same wicket."""
-    usual = ws["partnerships"].groupBy("gender", "format_group", "wicket_no").agg((F.sum("runs") / F.count(F.lit(1))).alias("typical"))
-    p = ws["partnerships"].join(usual, ["gender", "format_group", "wicket_no"]).groupBy("gender", "format_group", "p1", "p2").agg(
-        F.count("*").alias("stands"), F.avg("runs").alias("mean_runs"), F.avg("typical").alias("expected"))
-    return p.filter((c("stands") >= min_stands) & (c("mean_runs") >= lift * c("expected"))).withColumn(
-        "p", two_sided((c("mean_runs") - c("expected")) / (c("expected") / F.sqrt("stands"))))
+def partnership_candidates(ws: Workspace, min_stands: int = 15, min_balls: int = 500, lift: float = 1.8) -> DataFrame:
+    """Pairs whose runs per broken stand are far above those of all stands of the format and gender.
+
+    Stands are about exponential, so the mean of w of them has a deviation of mean / sqrt(w)."""
+    keys = ["format_group", "gender"]
+    sums = [F.sum("runs").alias("runs"), F.count_if(c("ended") == "wicket").alias("w")]
+    rows = ws["partnerships"].filter(major("batting_team", "bowling_team"))
+    usual = rows.groupBy(*keys).agg(*sums).select(*keys, (c("runs") / c("w")).alias("typical"))
+    p = rows.groupBy(*keys, "p1", "p2").agg(*sums, F.count("*").alias("stands"), F.sum("balls").alias("balls")).filter((c("stands") >= min_stands) & (c("balls") >= min_balls))
+    p = p.join(usual, keys).withColumn("w1", F.greatest("w", F.lit(1))).withColumn("average", c("runs") / c("w1"))
+    z = (c("average") - c("typical")) / (c("typical") / F.sqrt("w1"))
+    return p.filter(c("average") >= lift * c("typical")).withColumn("p", two_sided(z))
 
 
-def year_candidates(ws: Workspace, min_balls: int = 200) -> DataFrame:
-    """A batter's year against the three before it; years come from one aggregate, the past from a range window on them."""
+def years(ws: Workspace, since: int) -> DataFrame:
+    """Balls, runs and squared runs of each batter's years, with the sums of the three years before."""
     r = c("runs_batter").cast("long")
-    y = ws["balls"].filter("faced").groupBy("batter_id", "format_group", "year").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
-    w = Window.partitionBy("batter_id", "format_group").orderBy("year").rangeBetween(-3, -1)
-    y = y.withColumns({f"{x}_past": F.sum(x).over(w) for x in ("n", "s", "q")}).filter((c("n") >= min_balls) & (c("n_past") >= min_balls))
-    return y.select("*", F.inline(F.array(mean_diff("s", "q", "n", "s_past", "q_past", "n_past")))).withColumn("change", 100 * c("diff"))
-
-
-def within_reach(ws: Workspace, gap: float = 0.08) -> DataFrame:
-    """Active players close behind the leader in career runs or wickets."""
-    bat = ws["bat_innings"].groupBy("gender", "format_group", c("batter_id").alias("person_id")).agg(F.sum("runs").alias("v"), F.max("year").alias("last")).withColumn("what", F.lit("runs"))
-    bowl = ws["bowl_innings"].groupBy("gender", "format_group", c("bowler_id").alias("person_id")).agg(F.sum("wickets").alias("v"), F.max("year").alias("last")).withColumn("what", F.lit("wickets"))
-    rows = bat.unionByName(bowl)
-    keys = ["gender", "format_group", "what"]
-    lead = rows.groupBy(*keys).agg(F.max("v").alias("lead"), F.max("last").alias("latest"))
-    return rows.join(lead, keys).filter((c("v") < c("lead")) & (c("v") >= (1 - gap) * c("lead")) & (c("last") >= c("latest") - 1))
+    b = ws["balls"].filter("faced").filter(major("batting_team", "bowling_team")).filter(c("year") >= since)
+    y = b.groupBy("batter_id", "format_group", "gender", "year").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
+    w = Window.partitionBy("batter_id", "format_group", "gender").orderBy("year").rangeBetween(-3, -1)
+    return y.withColumns({f"{x}_past": F.sum(x).over(w) for x in ("n", "s", "q")})
+
+
+def year_candidates(ws: Workspace, min_balls: int = 150, min_past: int = 400, z_min: float = 2.5, d_min: float = 0.12, since: int = 2021) -> DataFrame:
+    """A batter's latest year, or the one before where the latest is short, against the three before it, if the change is large and clear."""
+    y = years(ws, since)
+    latest = y.agg(F.max("year").alias("latest"))
+    enough = y.join(F.broadcast(latest), c("year") >= c("latest") - 1).filter(c("n") >= min_balls)  # one row
+    now = ranked(enough, ["batter_id", "format_group", "gender"], [F.desc("year")], 1, "pick").filter(c("n_past") >= min_past)
+    out = now.select("*", F.inline(F.array(mean_diff("s", "q", "n", "s_past", "q_past", "n_past")))).withColumn("change", 100 * c("diff"))
+    half = (c("hi") - c("lo")) / 2  # Z90 standard errors
+    return out.filter((F.abs("diff") * Z90 >= z_min * half) & (F.abs("diff") >= d_min))
+
+
+def within_reach(ws: Workspace, competitions: tuple[str, ...], gap: float = 0.08, places: int = 6) -> DataFrame:
+    """Batters ranked second to sixth in runs or sixes of a competition that is covered in full, close behind the leader and active in its latest season."""
+    b = ws["balls"].filter(c("competition").isin(*competitions))
+    per = b.groupBy("competition", c("batter_id").alias("person_id")).agg(F.sum("runs_batter").alias("runs"), F.count_if("is_six").alias("sixes"), F.max("year").alias("last"))
+    rows = per.select("competition", "person_id", "last", F.inline(F.array(*[F.struct(F.lit(x).alias("what"), c(x).cast("long").alias("v")) for x in ("runs", "sixes")])))
+    latest = b.groupBy("competition").agg(F.max("year").alias("latest"))
+    lead = rows.groupBy("competition", "what").agg(F.max("v").alias("lead"))
+    best = ranked(rows, ["competition", "what"], [F.desc("v"), F.asc("person_id")], places).join(lead, ["competition", "what"]).join(latest, "competition")
+    return best.filter((c("last") == c("latest")) & (c("v") < c("lead")) & (c("lead") - c("v") <= gap * c("lead")))
 
 
 def did_not_know(rows: DataFrame, keys: list[str], q: float = 0.01) -> DataFrame:

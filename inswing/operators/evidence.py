@@ -218,7 +218,7 @@ def states(ws: Workspace, role: str = "batting", min_n: dict[str, int] | None =
 MIN_IN = {"T20": 90, "ODI": 150}
 MIN_OUT = {"T20": 150, "ODI": 250}
 PRESSURE = {"T20": 10.0, "ODI": 7.0}
-K_SHRINK = 100.0
+K_SHRINK = 60.0
 FIELDS = ["n", "runs", "ss", "bnd", "dots", "outs"]
 SPLITS = {  # fixed values: the situations compared with the rest of a batter's balls
     "phase:powerplay": "phase = 'powerplay'", "phase:middle": "phase = 'middle'", "phase:death": "phase = 'death'", "chasing": "coalesce(chasing, false)",

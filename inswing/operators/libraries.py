@@ -90,7 +90,7 @@ def battle_universe(ws: Workspace, category: str, k: int = 25, big: int = 120, m
 
 # ---------------------------------------------------------------- partnerships
 
-def best_pairs(ws: Workspace, sort: str = "runs", phase: str | None = None, min_innings: int = 10, min_balls: int = 300, k: int = 20) -> DataFrame:
+def best_pairs(ws: Workspace, sort: str = "runs", phase: str | None = None, min_innings: int = 8, min_balls: int = 240, k: int = 20) -> DataFrame:
     """Pairs by runs, run rate, average or innings together, optionally within one phase."""
     if phase:
         both = (F.col("batter_id") == F.least("batter_id", "non_striker_id"))
@@ -118,7 +118,7 @@ def top_stands(ws: Workspace, k: int = 20) -> DataFrame:
 
 def partner_effect(ws: Workspace, min_balls: dict[str, int] | None = None, cell: int = 40) -> DataFrame:
     """A batter's scoring with each partner against their scoring with all others and against their phase-and-year rate."""
-    least = min_balls or {"T20": 60, "ODI": 120}
+    least = min_balls or {"T20": 120, "ODI": 200}
     me = ["batter_id", "format_group"]
     r = c("runs_batter").cast("long")
     rows = ws["balls"].filter("faced").groupBy(*me, "non_striker_id", "phase", "year").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("ss"))
