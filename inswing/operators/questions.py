@@ -7,7 +7,7 @@ from inswing.functions.columns import ratio
 from inswing.functions.stats import poisson_tail, shrink
 from inswing.plans.workspace import Workspace
 
-PULL = 100.0  # pseudo-balls towards the usual rate
+PULL = 60.0  # pseudo-balls towards the usual rate
 
 
 def c(name: str) -> Column:
@@ -22,34 +22,53 @@ def _split_rates(ws: Workspace, first: str, second: str, keys: list[str]) -> Dat
     return ws["balls"].groupBy(*keys).agg(*aggs)
 
 
-def change(ws: Workspace, first: str, second: str, min_balls: int) -> DataFrame:
-    """A batter's strike rate on the second side of a split less the first, each pulled towards everyone's rate there."""
+def change(ws: Workspace, first: str, second: str, min_first: int, min_second: int) -> DataFrame:
+    """A batter's strike rate on the second side of a split, pulled towards that of all who qualify, less the rate on the first.
+
+    `vs_typical` takes away the change of all who qualify together."""
     keys = ["format_group", "gender"]
-    everyone = _split_rates(ws, first, second, keys).select(*keys, ratio(c("s_a"), c("n_a")).alias("u_a"), ratio(c("s_b"), c("n_b")).alias("u_b"))
-    me = _split_rates(ws, first, second, ["batter_id", *keys]).filter((c("n_a") >= min_balls) & (c("n_b") >= min_balls)).join(everyone, keys)
-    me = me.withColumns({"sr_a": 100 * shrink("s_a", "n_a", "u_a", PULL), "sr_b": 100 * shrink("s_b", "n_b", "u_b", PULL)})
-    return me.withColumn("change", c("sr_b") - c("sr_a"))
+    me = _split_rates(ws, first, second, ["batter_id", *keys]).filter((c("n_a") >= min_first) & (c("n_b") >= min_second))
+    usual = me.groupBy(*keys).agg(ratio(F.sum("s_a"), F.sum("n_a")).alias("u_a"), ratio(F.sum("s_b"), F.sum("n_b")).alias("u_b"))
+    me = me.join(usual, keys).withColumns({"sr_a": 100 * c("s_a") / c("n_a"), "sr_b": 100 * c("s_b") / c("n_b"), "change": 100 * (shrink("s_b", "n_b", "u_b", PULL) - c("s_a") / c("n_a"))})
+    return me.withColumn("vs_typical", c("change") - 100 * (c("u_b") - c("u_a")))
 
 
-def scored_fastest_against(ws: Workspace, min_balls: int) -> DataFrame:
-    """Strike rate of each batter against each side, pulled towards the batter's own rate."""
-    w = Window.partitionBy("batter_id", "format_group")
-    g = ws["balls"].filter("faced").groupBy("batter_id", "format_group", c("bowling_team").alias("opponent")).agg(F.count("*").alias("n"), F.sum("runs_batter").alias("s"))
-    g = g.withColumn("usual", F.sum("s").over(w) / F.sum("n").over(w)).filter(c("n") >= min_balls)
-    return g.withColumn("sr", 100 * shrink("s", "n", "usual", PULL))
+def faced_change(ws: Workspace, after: int) -> DataFrame:
+    """Every batter before and after a number of balls of an innings: strike rate, boundaries, dots and dismissals, as they are."""
+    b = ws["balls"].withColumn("late", c("batter_balls_before") >= after)
+    outs = ws["dis"].filter("counts_as_dismissal").groupBy("delivery_id", c("player_out_id").alias("batter_id")).agg(F.count("*").alias("o"))
+    b = b.join(outs, ["delivery_id", "batter_id"], "left")
+    aggs = []
+    for tag, test in (("a", ~c("late")), ("b", c("late"))):
+        some = lambda x, test=test: F.count_if(test & x)
+        aggs += [some(c("faced")).alias(f"n_{tag}"), F.sum(F.when(test, c("runs_batter")).otherwise(0)).alias(f"runs_{tag}"), some(c("faced") & (c("is_four") | c("is_six"))).alias(f"bnd_{tag}"),
+                 some(c("faced") & (c("runs_batter") == 0)).alias(f"dots_{tag}"), F.sum(F.when(test, F.coalesce("o", F.lit(0))).otherwise(0)).alias(f"outs_{tag}")]
+    g = b.groupBy("batter_id").agg(*aggs).filter("n_a > 0 and n_b > 0")
+    return g.select("batter_id", "n_a", "n_b", *[(100 * c(f"{x}_{t}") / c(f"n_{t}")).alias(f"{x}_{t}") for t in "ab" for x in ("runs", "bnd", "dots", "outs")])
 
 
-def troubled_by(ws: Workspace, min_balls: int) -> DataFrame:
-    """How much a bowler troubles a batter: dismissals above expectation with the scoring held down."""
-    b = ws["battles"].filter(c("balls") >= min_balls).withColumn("expected", c("balls") * c("batter_out_rate"))
-    return b.withColumn("score", (c("outs") - c("expected")) / F.sqrt(F.greatest(c("expected"), F.lit(0.5))) + (1 - (c("runs") / c("balls")) / F.nullif(c("batter_rpb"), F.lit(0.0))))
+def scored_fastest_against(ws: Workspace, min_balls: int = 60) -> DataFrame:
+    """Strike rate of each batter against each bowler, pulled towards the batter's own rate."""
+    g = ws["balls"].groupBy("batter_id", "bowler_id").agg(F.count_if("faced").alias("n"), F.sum("runs_batter").alias("s"))
+    own = g.groupBy("batter_id").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("usual"))
+    return g.filter(c("n") >= min_balls).join(own, "batter_id").withColumn("sr", 100 * shrink("s", "n", "usual", PULL))
 
 
-def rivalry_battles(ws: Workspace, min_balls: int, swing: float = 35.0) -> DataFrame:
-    """Battles that stand out: a rare number of dismissals, or a strike rate far from the batter's usual."""
-    b = ws["battles"].filter(c("balls") >= min_balls).withColumns({
-        "tail": poisson_tail("outs", c("balls") * c("batter_out_rate")), "gap": 100 * (c("runs") / c("balls") - c("batter_rpb"))})
-    return b.filter((c("tail") < 0.05) | (F.abs("gap") >= swing))
+def troubled_by(ws: Workspace, min_balls: int = 30) -> DataFrame:
+    """How much a bowler troubles a batter: dismissals above expectation, then a strike rate below the usual."""
+    b = ws["battles"].filter(c("balls") >= min_balls).withColumn("expected", c("balls") * c("batter_out_rate"))
+    return b.withColumn("score", (c("outs") - c("expected")) / F.sqrt(F.greatest(F.lit(1.0), c("expected"))) + 100 * (c("batter_rpb") - c("runs") / c("balls")) / 40)
+
+
+def rivalry_battles(ws: Workspace, min_balls: int = 48, often: float = 1.8, swing: float = 35.0) -> DataFrame:
+    """Battles within each pair of sides that stand out against the batter's usual rates: dismissed often, or scoring far from usual."""
+    side = [F.least("batting_team", "bowling_team").alias("side_a"), F.greatest("batting_team", "bowling_team").alias("side_b")]
+    g = ws["balls"].groupBy("gender", *side, "batter_id", "bowler_id").agg(
+        F.count_if("faced").alias("balls"), F.sum("runs_batter").alias("runs"), F.sum(c("striker_credited").cast("int")).alias("outs")).filter(c("balls") >= min_balls)
+    usual = ws["battles"].select("batter_id", "bowler_id", "gender", "batter_out_rate", "batter_rpb")
+    g = g.join(usual, ["batter_id", "bowler_id", "gender"], "left").withColumn("expected", c("balls") * F.coalesce("batter_out_rate", F.lit(0.0)))
+    g = g.withColumns({"tail": poisson_tail("outs", "expected"), "gap": 100 * (c("runs") / c("balls") - F.coalesce("batter_rpb", F.lit(0.0)))})
+    return g.filter((c("outs") > often * c("expected")) | (F.abs("gap") >= swing))
 
 
 def bowler_summary(ws: Workspace) -> DataFrame:
