@@ -137,7 +137,7 @@ def report(docs: DataFrame) -> DataFrame:
     """A row for each document: size, source_size, target of its source, copies, and the words taken."""
     rows, plan = mix(docs)
     p = plan.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), "source_size", "target", "copies")
-    return rows.join(p, F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd"))).select(
+    return rows.join(p.hint("merge"), F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -146,5 +146,5 @@ def materialise(docs: DataFrame) -> DataFrame:
     _, plan = mix(docs)
     p = plan.where("copies > 0").select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), "copies")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    joined = row.join(p, F.col("row.source").eqNullSafe(F.col("ps")) & F.col("row.doc_id").eqNullSafe(F.col("pd")))
+    joined = row.join(p.hint("merge"), F.col("row.source").eqNullSafe(F.col("ps")) & F.col("row.doc_id").eqNullSafe(F.col("pd")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

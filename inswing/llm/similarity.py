@@ -221,9 +221,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         company.select("band", "value", blocks(F.col("k"), F.col("grams")).alias("blocks")), ["band", "value"]).select(*small.columns)
     place = small.unionByName(large).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     read = docs.select(docs[doc_id].cast("long").alias("node"), text_of(docs[text]).alias("text"))
-    known = read.join(member.select("node").distinct(), "node", "left_semi")
+    # no bound on the members is known, so the plan is the same at every size: both sides are shuffled
+    known = read.join(member.select("node").distinct().hint("merge"), "node", "left_semi")
     payload = known.select("node", word_hashes(F.col("text")).alias("w")).mapInArrow(_keyed(gram), "node long, key binary, w array<long>")
-    meet = payload.join(place, ["node", "key"]).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    meet = payload.join(place.hint("merge"), ["node", "key"]).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", "key", "copies", "bands", "w", "band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     found = stage(meet.groupBy("band", "value", "i", "j").applyInArrow(_meeting(threshold, gram), "node long, links long, root long"), "similar-found")
@@ -251,5 +252,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, once. Documents without an id cannot be named and stay."""
     keep = stage(join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct(), "similar-kept")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    one = row.join(keep, F.col("row.doc_id") == F.col("kept_id")).dropDuplicates(["kept_id"]).select("row.*")
+    one = row.join(keep.hint("merge"), F.col("row.doc_id") == F.col("kept_id")).dropDuplicates(["kept_id"]).select("row.*")
     return one.unionByName(docs.where(docs["doc_id"].isNull()))
