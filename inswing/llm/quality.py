@@ -5,7 +5,8 @@ stratum (language) and rule the cutoff is chosen on labelled documents: going fr
 grid to stricter ones, a cutoff is accepted while the exact binomial test rejects "more than risk / rules of the good
 documents score above it", at level delta / (rules * strata). Bonferroni covers rules and strata; within a grid the
 order is fixed and the count of false rejections only grows, so testing stops at the first failure and needs no further
-correction. With probability 1 - delta no stratum loses more than `risk` of its good documents.
+correction. With probability 1 - delta no stratum loses more than `risk` of its good documents, whichever of the accepted
+cutoffs is used; of those, the most lenient is taken that still catches `catch` of the bad documents that the strictest does.
 
 Defined results. A null text has no words and fails the base rules; a null stratum is a stratum of its own. A stratum
 without labels, or with too few to certify any cutoff, keeps all that passes the base rules. Labels without a document,
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inswing.llm.common import stage, text_of, words
 
 RISK = 0.02
 DELTA = 0.05
+CATCH = 0.99
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -99,30 +101,36 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", stratum: str = "row.lang",
-            risk: float = RISK, delta: float = DELTA) -> DataFrame:
+            risk: float = RISK, delta: float = DELTA, catch: float = CATCH) -> DataFrame:
     """Cutoffs by stratum: (stratum, cutoffs array in the order of CUTOFFS, null where none is certified)."""
     rules = list(CUTOFFS)
-    good = (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_good")).where("_good = 1"))
-    # one row a rule, with the number of cutoffs that the score exceeds
-    levels = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.size(F.filter(
-            F.array(*map(F.lit, CUTOFFS[name])), lambda c, r=r: F.get(F.col("q.scores"), F.lit(r)) > c)).alias("level"))
-        for r, name in enumerate(rules)])
+        .groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good")))
+    # one row a rule, with the number of cutoffs that the score exceeds: the strictest ones, which stand last
+    def level(rule: int, name: str) -> Column:
+        score_ = F.get(F.col("q.scores"), F.lit(rule))
+        return F.size(F.filter(F.array(*map(F.lit, CUTOFFS[name])), lambda cutoff: score_ > cutoff))
+
+    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r, name).alias("level")) for r, name in enumerate(rules)])
     held = (
         scored.where(~F.col("q.base_failed")).select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), levels.alias("x"))
-        .join(good, "_id", "left_semi").select("stratum", F.explode("x").alias("x")).select("stratum", "x.rule", "x.level")
-        .groupBy("stratum", "rule", "level").agg(F.count("*").alias("n")))
+        .join(known, "_id").select("stratum", "good", F.explode("x").alias("x")).select("stratum", "good", "x.rule", "x.level")
+        .groupBy("stratum", "rule", "level").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")))
     held = stage(held, "quality-holdout")  # a row for each stratum, rule and level
-    tests = max(1, held.select("stratum").distinct().count() * len(rules))
+    tests = max(1, held.where("n > 0").select("stratum").distinct().count() * len(rules))
+    above = lambda field: F.aggregate(
+        "by", F.lit(0).cast("long"), lambda s, x: s + F.when(x["level"] + F.col("at") >= F.col("cutoffs"), x[field]).otherwise(0))
     grid = F.array(*[F.array(*map(F.lit, CUTOFFS[name])) for name in rules])
     bounds = (
-        held.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", F.col("n").alias("m"))).alias("by"))
-        .select("stratum", "rule", "n", "by", F.posexplode(F.element_at(grid, F.col("rule") + 1)).alias("at", "cutoff"))
-        .withColumn("k", F.aggregate("by", F.lit(0).cast("long"), lambda s, x: s + F.when(x["level"] > F.col("at"), x["m"]).otherwise(0)))
+        held.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", F.col("n").alias("m"), "bad")).alias("by"))
+        .withColumn("grid", F.element_at(grid, F.col("rule") + 1))
+        .select("stratum", "rule", "n", "by", F.size("grid").alias("cutoffs"), F.posexplode("grid").alias("at", "cutoff"))
+        .withColumns({"k": above("m"), "caught": above("bad")})
         .withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk / len(rules))))
-    chosen = bounds.where(F.col("tail") <= delta / tests).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    sure = bounds.where((F.col("n") > 0) & (F.col("tail") <= delta / tests))
+    most = F.max("caught").over(Window.partitionBy("stratum", "rule"))  # a grid has a fixed number of cutoffs
+    chosen = sure.withColumn("most", most).where(F.col("caught") >= catch * F.col("most")).groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
     return chosen.groupBy("stratum").agg(F.array(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))) for r in range(len(rules))]).alias("cutoffs"))
 
 

@@ -1,7 +1,7 @@
 """DuckDB statements for the queries that SQL can express."""
 from __future__ import annotations
 
-from inswing.llm.quality import CUTOFFS, DELTA, MIN_WORDS, REPEAT_PERCENT, RISK
+from inswing.llm.quality import CATCH, CUTOFFS, DELTA, MIN_WORDS, REPEAT_PERCENT, RISK
 
 ORACLE: dict[str, str] = {}
 
@@ -64,13 +64,15 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT}
   CASE WHEN n_words > 0 THEN 1 - n_distinct / n_words ELSE 0 END] AS scores FROM b),
 s AS (SELECT doc_id, lang, base_failed, rule, scores[rule + 1] AS score FROM f, unnest(generate_series(0, {len(CUTOFFS) - 1})) AS u(rule)),
 cut(rule, cutoff) AS (VALUES {_CUT}),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-held AS (SELECT coalesce(lang, chr(0)) AS lang, rule, score FROM s JOIN good USING (doc_id) WHERE NOT base_failed),
-k AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k FROM held JOIN cut USING (rule) GROUP BY lang, rule, cutoff),
-p AS (SELECT lang, rule, cutoff, k.k, k.n, sum(exp(lgamma(k.n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN k.n > i THEN lgamma(k.n - i + 1) ELSE 0 END
-  + i * ln({_RISK}) + (k.n - i) * ln(1 - {_RISK}))) AS tail FROM k, unnest(generate_series(0, k.k)) AS u(i) GROUP BY lang, rule, cutoff, k.k, k.n),
-chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM p
-  WHERE tail <= {DELTA} / ((SELECT greatest(1, count(DISTINCT lang)) FROM held) * {len(CUTOFFS)}) AND k < n * {_RISK} GROUP BY lang, rule),
+known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT coalesce(lang, chr(0)) AS lang, rule, score, good FROM s JOIN known USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND score > cutoff) AS k, count(*) FILTER (WHERE NOT good AND score > cutoff) AS caught
+  FROM held JOIN cut USING (rule) GROUP BY lang, rule, cutoff),
+p AS (SELECT lang, rule, cutoff, k.k, k.n, caught, sum(exp(lgamma(k.n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN k.n > i THEN lgamma(k.n - i + 1) ELSE 0 END
+  + i * ln({_RISK}) + (k.n - i) * ln(1 - {_RISK}))) AS tail FROM k, unnest(generate_series(0, k.k)) AS u(i) WHERE k.n > 0 AND k.k < k.n * {_RISK} GROUP BY lang, rule, cutoff, k.k, k.n, caught),
+sure AS (SELECT *, max(caught) OVER (PARTITION BY lang, rule) AS most FROM p
+  WHERE tail <= {DELTA} / ((SELECT greatest(1, count(DISTINCT lang)) FROM held WHERE good) * {len(CUTOFFS)})),
+chosen AS (SELECT lang, rule, max(cutoff) AS cutoff FROM sure WHERE caught >= {CATCH} * most GROUP BY lang, rule),
 bad AS (SELECT DISTINCT doc_id FROM s JOIN chosen c ON coalesce(s.lang, chr(0)) = c.lang AND s.rule = c.rule AND s.score > c.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = f.doc_id) AS kept FROM f

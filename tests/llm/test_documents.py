@@ -297,3 +297,34 @@ def test_mixing_odd(odd, clashing):
     mixed = mixing.materialise(clashing)
     assert mixed.columns == clashing.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.report(odd.limit(0)).count() == 0 and mixing.materialise(odd.limit(0)).count() == 0
+
+
+def test_quality_cutoffs_equal_a_plain_search(spark):
+    """Scores that good documents have too, so that the test of risk decides, and each grid is cut somewhere inside."""
+    import random
+    rnd, rows_, labels, scores = random.Random(5), [], [], {}
+    for i in range(9000):
+        lang, good = ["en", "de", None][i % 3], rnd.random() < 0.8
+        s = [min(1.0, rnd.betavariate(1, 60) * (j + 1) if good else rnd.betavariate(2, 3)) for j in range(5)]
+        rows_.append(((i, lang), (rnd.random() < 0.05, s)))
+        labels.append((i, int(good)))
+        scores.setdefault(lang, []).append((good, *rows_[-1][1]))
+    df = spark.createDataFrame(rows_, "row struct<doc_id:long,lang:string>, q struct<base_failed:boolean,scores:array<double>>")
+    got = {r.stratum: r.cutoffs for r in quality.certify(df, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.1).collect()}
+
+    def tail(k, n, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+    want = {}
+    for lang, docs in scores.items():
+        want[lang] = []
+        for r, name in enumerate(quality.CUTOFFS):
+            sure = []
+            for c in quality.CUTOFFS[name]:
+                k = [sum(s[r] > c for g, failed, s in docs if g == side and not failed) for side in (True, False)]
+                if tail(k[0], sum(g and not failed for g, failed, _ in docs), 0.1 / 5) > quality.DELTA / 15:
+                    break
+                sure.append((c, k[1]))
+            want[lang].append(max((c for c, caught in sure if caught >= quality.CATCH * sure[-1][1]), default=None) if sure else None)
+    assert got == want
+    assert len({c for v in want.values() for c in v}) >= 5
