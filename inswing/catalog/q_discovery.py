@@ -77,9 +77,7 @@ add("H04_query_features", "item_id:i versus:b figures:b year", """SELECT item_id
     lambda ws: ws.source("benchmark").select("item_id", F.lower("text").rlike(r"\b(v|vs|versus|against)\b").alias("versus"), F.col("text").rlike(r"\b[0-9]{1,2}/[0-9]{1,3}\b").alias("figures"), F.nullif(F.regexp_extract("text", r"\b((19|20)[0-9]{2})\b", 1), F.lit("")).alias("year")))
 add("H05_alias_resolution", "alias person_id ambiguous:b", """SELECT alias, arg_max(person_id, lpad(m::VARCHAR, 9, '0') || person_id) AS person_id, count(*) > 1 AND max(m) < 3 * coalesce(max(m) FILTER (WHERE r = 2), 0) AS ambiguous FROM (
     SELECT *, row_number() OVER (PARTITION BY alias ORDER BY m DESC, person_id DESC) AS r FROM (SELECT split_part(name, ' ', 2) AS alias, person_id, matches AS m FROM player_profile)) GROUP BY 1""",
-    lambda ws: ws["player_profile"].select(F.element_at(F.split("name", " "), -1).alias("alias"), "person_id", "matches").groupBy("alias").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("matches", "person_id")), asc=False), 1, 2).alias("t"), F.count("*").alias("k")).select(
-        "alias", F.col("t")[0]["person_id"].alias("person_id"), ((F.col("k") > 1) & (F.col("t")[0]["matches"] < 3 * F.coalesce(F.get("t", F.lit(1))["matches"], F.lit(0)))).alias("ambiguous")))
+    G.alias_resolution)
 
 # ---- metadata
 _OBS = "(SELECT person_id, 'bowling_style' AS field, style_text AS value FROM people WHERE style_text IS NOT NULL UNION ALL SELECT person_id, 'batting_hand', batting_hand FROM people WHERE batting_hand IS NOT NULL)"

@@ -193,3 +193,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     g = hit.groupBy("query_id", "need", "kind", "key").agg(F.count("*").alias("found"), F.sum("s").alias("total"), F.max("weight").alias("weight"))
     g = g.filter(c("found") >= F.greatest(F.lit(1), c("need") - F.when(c("need") >= 3, 1).otherwise(0))).withColumn("score", c("total") / c("need") + F.log10(1.0 + c("weight")) / 10)
     return ranked(g, ["query_id", "kind"], [F.desc(F.round("score", 9)), F.asc("key")], k)
+
+
+def alias_resolution(ws: Workspace, clear: float = 3.0) -> DataFrame:
+    """The best-known bearer of each last name; ambiguous unless it has `clear` times the matches of the second."""
+    bearers = ws["player_profile"].select(F.element_at(F.split("name", " "), -1).alias("alias"), "person_id", "matches")
+    two = ranked(bearers, ["alias"], [F.desc("matches"), F.desc("person_id")], 2)
+    first, second = c("rank") == 1, c("rank") == 2
+    return two.groupBy("alias").agg(F.max(F.when(first, c("person_id"))).alias("person_id"), F.coalesce(
+        F.max(F.when(first, c("matches"))) < clear * F.max(F.when(second, c("matches"))), F.lit(False)).alias("ambiguous"))
