@@ -17,8 +17,9 @@ Defined results. A null or empty text is the end id alone. Null ids come first;
 their text; rows that repeat are documents of their own. An empty table gives no shard and an empty result. Extra columns
 are not read. Special tokens written out in a text are encoded as the tokenizer encodes them.
 
-Sample for the dictionary: SAMPLE documents with the smallest hash of id and text, SAMPLE_IDS ids of each at most; with
-too few to train on, frames are written without a dictionary.
+Sample for the dictionary: the documents whose hash of id and text falls below the share that makes SAMPLE of them on
+average, twice as many at most where rows repeat, and SAMPLE_IDS ids of each at most. With too few to train on, frames are
+written without a dictionary.
 """
 from __future__ import annotations
 
@@ -143,14 +144,15 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 
 def train(docs: DataFrame, tokenizer: str) -> bytes:
-    """The dictionary; at most SAMPLE arrays of SAMPLE_IDS ids reach the driver."""
+    """The dictionary; at most twice SAMPLE arrays of SAMPLE_IDS ids reach the driver, whatever the size of `docs`."""
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for _, texts in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS * e.dtype.itemsize] for x in e.encode(texts)], pa.binary())], names=["ids"])
 
-    order = F.xxhash64("doc_id", "text")
-    rows = docs.orderBy(order, "doc_id").limit(SAMPLE).select("doc_id", "text").mapInArrow(sample, "ids binary").collect()
+    share = SAMPLE / max(1, docs.count())
+    drawn = docs.where(F.xxhash64("doc_id", "text").bitwiseAND(2**53 - 1) < int(share * 2**53)) if share < 1 else docs
+    rows = drawn.limit(2 * SAMPLE).mapInArrow(sample, "ids binary").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.ids) for r in rows), d=8, k=256).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples
