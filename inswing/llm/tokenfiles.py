@@ -13,9 +13,9 @@ with an index entry (id, whether there is an id, offset, length, number of ids)
 `dictionary`, and `manifest`, a table with a row for each shard. A shard is written under a name of its own and renamed
 when whole; a task that runs again, or twice, writes the same bytes. Files are reached through pyarrow's file systems.
 
-Defined results. A null or empty text is the end id alone. Null ids come first; rows that share an id are ordered by
-their text; rows that repeat are documents of their own. An empty table gives no shard and an empty result. Extra columns
-are not read. Special tokens written out in a text are encoded as the tokenizer encodes them.
+Defined results. A null or empty text is the end id alone. Null ids come first; rows that share an id are ordered by a hash
+of their text; rows that repeat are documents of their own. An empty table gives no shard and an empty result. Extra
+columns are not read. Special tokens written out in a text are encoded as the tokenizer encodes them.
 
 Sample for the dictionary: the documents whose hash of id and text falls below the share that makes SAMPLE of them on
 average, twice as many at most where rows repeat, and SAMPLE_IDS ids of each at most. With too few to train on, frames are
@@ -205,8 +205,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int | None = None,
     with fs.open_output_stream(f"{root}/dictionary") as out:
         out.write(raw)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the text takes part in the range, so that many rows of one id are split too
-    ranged = read.repartitionByRange(n, F.col("doc_id"), F.col("text")).sortWithinPartitions("doc_id", "text")
+    # a hash of the text takes part in the range, so that many rows of one id are split too; Spark samples what it ranges
+    # by to the driver, and a hash is eight bytes
+    keyed = read.withColumn("text_hash", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").select("doc_id", "text")
     ranged.mapInArrow(_writer(path, tokenizer, raw), "shard long, documents long, ids long, first_id long, last_id long").write.parquet(f"{path}/manifest")
 
 
