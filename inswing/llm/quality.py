@@ -8,6 +8,13 @@ order is fixed and the count of false rejections only grows, so testing stops at
 correction. With probability 1 - delta no stratum loses more than `risk` of its good documents, whichever of the accepted
 cutoffs is used; of those, the most lenient is taken that still catches `catch` of the bad documents that the strictest does.
 
+Split over rules, a stratum needs log(rules * strata / delta) / -log(1 - risk / rules) good labels before any test can succeed.
+`certify_all` takes the strata with fewer through one fixed path of cutoffs for all rules together (PATH): the good documents
+that any rule rejects are tested at `risk` and delta / strata, step by step until the first failure, which needs a fifth of
+those labels. A stratum goes one way or the other by its number of good labels alone, so the guarantee is the same.
+`certify` and `verdicts` as op1_quality_rules calls it are rule by rule only, as its SQL states them; the pipeline and
+op1_joint_rules use `certify_all`.
+
 Defined results. A null text has no words and fails the base rules; a null stratum is a stratum of its own. A stratum
 without labels, or with too few to certify any cutoff, keeps all that passes the base rules. Labels without a document,
 with a null id or a null quality are ignored; if a document is labelled several times, one good label makes it good.
@@ -20,6 +27,7 @@ of one document of 20,000 words meet with a probability below 1e-6.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,6 +47,11 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
     "upper_case_share": (0.90, 0.70, 0.60, 0.50, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.12, 0.10),
     "repeated_word_share": (0.98, 0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55, 0.50),
 }
+_GRID = list(CUTOFFS.values())
+#: Order in which PATH tightens, (rule, place in its grid): all grids side by side, the share of repeated words after them, as it grows with length.
+STEPS = sorted(((r, i) for r, grid in enumerate(_GRID) for i in range(1, len(grid))), key=lambda x: (_GRID[x[0]] is CUTOFFS["repeated_word_share"], x[1] / len(_GRID[x[0]]), x[0]))
+#: Joint cutoffs from lenient to strict, one rule tightened at a time.
+PATH = [[grid[max([i for q, i in STEPS[:n] if q == r], default=0)] for r, grid in enumerate(_GRID)] for n in range(len(STEPS) + 1)]
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -100,10 +113,8 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, one).otherwise(F.exp(log_term) * series)
 
 
-def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", stratum: str = "row.lang",
-            risk: float = RISK, delta: float = DELTA, catch: float = CATCH) -> DataFrame:
-    """Cutoffs by stratum: (stratum, cutoffs array in the order of CUTOFFS, null where none is certified)."""
-    rules = list(CUTOFFS)
+def labelled(scored: DataFrame, labels: DataFrame, doc_id: str, stratum: str) -> DataFrame:
+    """(stratum, good, x): the labelled documents that pass the base rules; x has a struct (rule, level) for each rule."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good")))
@@ -112,10 +123,18 @@ def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", st
         score_ = F.get(F.col("q.scores"), F.lit(rule))
         return F.size(F.filter(F.array(*map(F.lit, CUTOFFS[name])), lambda cutoff: score_ > cutoff))
 
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r, name).alias("level")) for r, name in enumerate(rules)])
-    held = (
+    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r, name).alias("level")) for r, name in enumerate(CUTOFFS)])
+    return (
         scored.where(~F.col("q.base_failed")).select(F.col(doc_id).alias("_id"), F.col(stratum).alias("stratum"), levels.alias("x"))
-        .join(known, "_id").select("stratum", "good", F.explode("x").alias("x")).select("stratum", "good", "x.rule", "x.level")
+        .join(known, "_id").select("stratum", "good", "x"))
+
+
+def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", stratum: str = "row.lang",
+            risk: float = RISK, delta: float = DELTA, catch: float = CATCH) -> DataFrame:
+    """Cutoffs by stratum: (stratum, cutoffs array in the order of CUTOFFS, null where none is certified)."""
+    rules = list(CUTOFFS)
+    held = (
+        labelled(scored, labels, doc_id, stratum).select("stratum", "good", F.explode("x").alias("x")).select("stratum", "good", "x.rule", "x.level")
         .groupBy("stratum", "rule", "level").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")))
     held = stage(held, "quality-holdout")  # a row for each stratum, rule and level
     tests = max(1, held.where("n > 0").select("stratum").distinct().count() * len(rules))
@@ -134,6 +153,36 @@ def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", st
     return chosen.groupBy("stratum").agg(F.array(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))) for r in range(len(rules))]).alias("cutoffs"))
 
 
+def certify_jointly(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", stratum: str = "row.lang",
+                    risk: float = RISK, delta: float = DELTA, catch: float = CATCH) -> DataFrame:
+    """Cutoffs on PATH, as `certify` returns them, of the strata with too few good labels for any test rule by rule."""
+    # the first step of PATH that rejects a document; a level of n exceeds the n last places of the rule's grid
+    first = [[len(PATH)] + [min(t for t, c in enumerate(PATH) if c[r] <= grid[-n]) for n in range(1, len(grid) + 1)] for r, grid in enumerate(_GRID)]
+    step = F.array_min(F.array(*[F.get(F.array(*map(F.lit, f)), F.get("x", F.lit(r))["level"]) for r, f in enumerate(first)]))
+    held = (
+        labelled(scored, labels, doc_id, stratum).select("stratum", "good", step.alias("step"))
+        .groupBy("stratum", "step").agg(F.count_if("good").alias("m"), F.count_if(~F.col("good")).alias("bad")))
+    held = stage(held, "quality-joint")  # a row for each stratum and step
+    strata = max(1, held.where("m > 0").select("stratum").distinct().count())
+    rejected = lambda field: F.aggregate(
+        "by", F.lit(0).cast("long"), lambda s, x: s + F.when(x["step"] <= F.col("at"), x[field]).otherwise(0))
+    few = binomial_tail(F.lit(0).cast("long"), F.col("n"), risk / len(CUTOFFS)) > delta / (strata * len(CUTOFFS))
+    tested = (
+        held.groupBy("stratum").agg(F.sum("m").alias("n"), F.collect_list(F.struct("step", "m", "bad")).alias("by"))
+        .where((F.col("n") > 0) & few).select("stratum", "n", "by", F.posexplode(F.array(*[F.array(*map(F.lit, c)) for c in PATH])).alias("at", "cutoffs"))
+        .withColumns({"k": rejected("m"), "caught": rejected("bad")}))
+    # the count of false rejections only grows along the path, so these are the steps before the first failure
+    sure = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / strata)
+    most = F.max("caught").over(Window.partitionBy("stratum"))  # a path has a fixed number of steps
+    chosen = sure.withColumn("most", most).where(F.col("caught") >= catch * F.col("most"))
+    return chosen.groupBy("stratum").agg(F.min_by("cutoffs", "at").alias("cutoffs"))
+
+
+def certify_all(scored: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Cutoffs as `certify` returns them: rule by rule where a stratum has the labels for it, else jointly."""
+    return certify(scored, labels, **options).unionByName(certify_jointly(scored, labels, **options))
+
+
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "row.lang") -> DataFrame:
     """`scored` with the boolean `kept`."""
     c = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
@@ -143,14 +192,14 @@ def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "row.lang") -> D
         .withColumn("kept", ~F.col("q.base_failed") & ~F.coalesce(above, F.lit(False))).drop("_stratum", "_cutoffs"))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, cutoffs: Callable[[DataFrame, DataFrame], DataFrame] = certify) -> DataFrame:
     """A narrow row for each document: base counts, base_failed and kept."""
     scored = stage(score(docs).select(F.struct("row.doc_id", "row.lang").alias("row"), "q"), "quality-scores")
-    out = judge(scored, stage(certify(scored, labels), "quality-cutoffs"))
+    out = judge(scored, stage(cutoffs(scored, labels), "quality-cutoffs"))
     return out.select("row.doc_id", *[F.col(f"q.{x}").alias(x) for x in BASE], F.col("q.base_failed").alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
     scored = stage(score(docs), "quality-documents")
-    return judge(scored, stage(certify(scored, labels), "quality-cutoffs")).where("kept").select("row.*")
+    return judge(scored, stage(certify_all(scored, labels), "quality-cutoffs")).where("kept").select("row.*")
