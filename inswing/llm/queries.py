@@ -70,6 +70,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(table(spark, sf_dir, "documents")).drop("key")
 
 
+@query
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.passages(table(spark, sf_dir, "documents")).drop("key")
+
+
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))

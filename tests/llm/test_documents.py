@@ -360,3 +360,41 @@ def test_quality_cutoffs_reach_rare_strata(spark):
     assert got["de"] == next(c for c, caught in sure if caught >= quality.CATCH * sure[-1][1])
     assert sure[-1][1] > 0 and all(a >= b for c, d in zip(quality.PATH, quality.PATH[1:]) for a, b in zip(c, d))
     assert quality.PATH[-1] == [grid[-1] for grid in quality.CUTOFFS.values()]
+
+
+def test_passages_of_short_lines(frame, odd, clashing):
+    """Held against every run of lines of every document; brute force over a small vocabulary, so that all overlaps occur."""
+    import random
+    wrapped = "\n".join(" ".join(prose(60, 90).split()[i : i + 6]) for i in range(0, 60, 6))
+    docs = frame([(1, f"own\n{wrapped}\nend"), (2, f"head here\n{wrapped}\n\nown"), (3, "own\nend"), (4, "\n".join(["la la la"] * 20))])
+    got = sorted((r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id) for r in lines.passages(docs).collect())
+    # the second copy goes; lone lines stay, and so do the first seven lines of the refrain, which make the first 20 words
+    assert got == [(2, 10, 11 + len(wrapped), 60, 1), (4, 63, 179, 39, 4)]
+    assert {r.doc_id: r.text for r in lines.clean(docs, find=lines.passages).collect()}[2] == "head here\n\nown"
+    assert lines.repeats(docs).count() == 0
+
+    rnd, texts = random.Random(9), {}
+    for i in range(60):
+        texts[i] = "\n".join(rnd.choice(["a b", "c", "d e f", "g h i j k l m", "", "A  B"]) for _ in range(rnd.randrange(25)))
+    first, want = {}, set()
+    for i, t in texts.items():
+        ls = [" ".join(x.lower().split()) for x in t.split("\n") if x.split()]
+        for b in range(len(ls)):
+            for a in range(b + 1):
+                if sum(len(x.split()) for x in ls[a : b + 1]) >= 8:
+                    d, e = first.setdefault(tuple(ls[a : b + 1]), (i, b))
+                    if d < i or e < a:
+                        want |= {(i, k) for k in range(a, b + 1)}
+    out = set()
+    for r in lines.passages(frame(list(texts.items())), 8).collect():
+        t, at, k = texts[r.doc_id], 0, -1
+        for x in t.split("\n"):
+            k += bool(x.split())
+            if x.split() and r.start <= at < r.end:
+                assert (r.doc_id, k) not in out
+                out.add((r.doc_id, k))
+            at += len(x) + 1
+        assert r.n_words == len(t[r.start : r.end].split())
+    assert out == want and len(want) > 50
+    kept = lines.clean(clashing, find=lines.passages)
+    assert kept.columns == clashing.columns and kept.count() == len(ODD) and lines.passages(odd.limit(0)).count() == 0
