@@ -21,8 +21,8 @@ with a null id or a null quality are ignored; if a document is labelled several
 Rows that share a doc_id are judged one by one; each counts as a labelled document. An empty table gives an empty
 result. Columns of the input stay as they are; a column named like one of ours is replaced only in the narrow result.
 
-Three-word windows are compared by a 64-bit hash of which the low bits give way to the position; two different windows
-of one document of 20,000 words meet with a probability below 1e-6.
+Three-word windows are compared by a 64-bit hash. Up to LONG words its low bits give way to the position, above it stands
+whole beside the position; two different windows of one document of up to 5 million words meet with a probability below 1e-6.
 """
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ DELTA = 0.05
 CATCH = 0.99
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
+LONG = 20_000  # words from which windows are compared by the whole hash
 
 #: Rule -> cutoffs from lenient to strict. The grid is fixed before any label is seen.
 CUTOFFS: dict[str, tuple[float, ...]] = {
@@ -68,14 +69,21 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         # low bits of a window's key hold its place, so that sorting plain longs brings equal windows together
         .withColumn("_bits", F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int"))
         .withColumn("_low", F.expr("shiftleft(1L, _bits) - 1L"))
-        .withColumn("_k", F.when(F.col("_n") >= 3, F.sort_array(F.transform(
+        .withColumn("_k", F.when((F.col("_n") >= 3) & (F.col("_n") <= LONG), F.sort_array(F.transform(
             F.sequence(F.lit(0), F.col("_n") - 3),
             lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")),
-        ))).otherwise(F.array().cast("array<bigint>"))))
+        ))).otherwise(F.array().cast("array<bigint>")))
+        .withColumn("_s", F.when(F.col("_n") > LONG, F.sort_array(F.transform(
+            F.sequence(F.lit(0), F.col("_n") - 3),
+            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("i")),
+        ))).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>"))))
     k, low = F.col("_k"), F.bitwise_not(F.col("_low"))
     same = lambda x, other: F.coalesce(x.bitwiseAND(low) == other.bitwiseAND(low), F.lit(False))
-    d = c.withColumn("_p", F.sort_array(F.transform(
-        F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x.bitwiseAND(F.col("_low")))))
+    short = F.transform(F.filter(k, lambda x, i: same(x, F.get(k, i - 1)) | same(x, F.get(k, i + 1))), lambda x: x.bitwiseAND(F.col("_low")))
+    z = F.col("_s")
+    equal = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
+    long_ = F.transform(F.filter(z, lambda x, i: equal(x, F.get(z, i - 1)) | equal(x, F.get(z, i + 1))), lambda x: x["i"])
+    d = c.withColumn("_p", F.sort_array(F.when(F.col("_n") > LONG, long_).otherwise(short)))
     p = F.col("_p")
     repeated = F.when(F.size(p) == 0, 0).otherwise(
         F.aggregate(p, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum")),

@@ -398,3 +398,12 @@ def test_passages_of_short_lines(frame, odd, clashing):
     assert out == want and len(want) > 50
     kept = lines.clean(clashing, find=lines.passages)
     assert kept.columns == clashing.columns and kept.count() == len(ODD) and lines.passages(odd.limit(0)).count() == 0
+
+
+def test_quality_long_texts_use_the_whole_hash(frame, monkeypatch):
+    """With a hash of 40 bits, those that give way to a place among 30,000 words leave 25, which many windows share."""
+    whole = F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: whole(*c).bitwiseAND(2**40 - 1))
+    text = " ".join(str(i) for i in range(30_000)) + " 7 8 9 10"
+    got = quality.score(frame([(1, text, "en", "a")])).select("q.n_words", "q.n_repeat_words").head()
+    assert tuple(got) == (30_004, 8)
