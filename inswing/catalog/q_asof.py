@@ -1,7 +1,8 @@
 """Baselines from strictly earlier days; the statements join each asked day to all earlier facts."""
 from __future__ import annotations
 
-from inswing.catalog.registry import add
+from inswing.catalog.oracle import TABLES
+from inswing.catalog.registry import QUERIES, add
 from inswing.operators import asof  # noqa: F401
 
 _SQUAD = "sq AS (SELECT DISTINCT p.match_id, p.person_id, m.format_group, m.gender, m.competition, m.start_date FROM players_in_match p JOIN matches m USING (match_id))"
@@ -64,3 +65,7 @@ add("Z13_score_before", "format_group gender start_date:d innings_no:i mark:i n:
   WHERE legal AND innings_no <= 2 AND legal_balls_before % 6 = 0 GROUP BY ALL""", lambda ws: ws["asof_score"])
 add("Z13_wickets_before", "format_group gender start_date:d mark:i wickets:i n:i", f"""WITH {_DAYS}
   SELECT k.*, legal_balls_before AS mark, wickets_before AS wickets, count(*) AS n FROM ask k JOIN balls f ON {_SAME} WHERE legal AND legal_balls_before % 6 = 0 GROUP BY ALL""", lambda ws: ws["asof_wickets"])
+
+# for statements that build on these
+for _name, _of in (("batter", "bat"), ("bowler", "bowl"), ("battle", "battle"), ("pair", "pair"), ("unusual", "unusual"), ("score", "score"), ("wickets", "wickets")):
+    TABLES[f"asof_{_of}"] = QUERIES[f"Z13_{_name}_before"].sql
