@@ -14,6 +14,11 @@ such lines with MIN_WORDS words is digested, and of equal runs the earliest stay
 whole lines is covered by these runs, so every line of a passage that stands earlier goes, and lone short lines stay. A
 run counts as earlier in its own document only if the two don't overlap. Runs that touch or overlap are one span.
 
+`clauses` also finds what is pasted into the middle of a line: its units end behind a word that ends a clause, with one of the
+marks . ! ? , ; : or, for texts without marks, a word whose number of characters is a multiple of BREAK, so that equal
+passages are cut alike wherever they stand. From each unit the shortest run of MIN_WORDS words is digested. Such runs are short, so what repeats is removed only where
+they add up to MIN_SPAN words or more in one span; lone phrases that many documents share stay.
+
 Defined results. A null or empty text has no lines. A span runs from a line's first character to its line break,
 inclusive; the last line's to the end of the text; offsets count code points. Within a document the first of equal lines
 counts. Null ids rank last; rows with a null id count as one document, and so do rows that share an id: each of them keeps
@@ -21,15 +26,19 @@ its first occurrence if the id is the holder. An empty table gives an empty resu
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from inswing.llm.common import stage, text_of
+from inswing.llm.common import stage, text_of, tidy
 
 MIN_WORDS = 20
+MIN_SPAN = 40  # words of a span that clauses removes
+BREAK = 6
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, key long, start long, end long, n_words long, digest binary, again boolean"
 
 
@@ -102,6 +111,49 @@ def _runs(min_words: int):
     return run
 
 
+def _clause_runs(min_words: int):
+    """The shortest run of min_words words from each clause."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(),) * 6 + (pa.binary(), pa.bool_())
+        names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                starts, ends, words, upto, unit, at = [], [], [], [0], [], 0
+                for m in _WORD.finditer(text):
+                    w = m.group().lower()
+                    if not unit:
+                        at = m.start()
+                    unit.append(w)
+                    if w[-1] in ".!?,;:" or len(w) % BREAK == 0:
+                        starts.append(at)
+                        ends.append(m.end())
+                        words.append(" ".join(unit))
+                        upto.append(upto[-1] + len(unit))
+                        unit = []
+                if unit:
+                    starts.append(at)
+                    ends.append(m.end())
+                    words.append(" ".join(unit))
+                    upto.append(upto[-1] + len(unit))
+                seen: dict[bytes, int] = {}
+                n, b = len(words), 0
+                for a in range(n):
+                    while b < n and upto[b] - upto[a] < min_words:
+                        b += 1
+                    if upto[b] - upto[a] < min_words:
+                        break
+                    digest = xxhash.xxh3_128_digest("\n".join(words[a:b]).encode("utf-8", "surrogatepass"))
+                    out.append((doc, key, starts[a], ends[b - 1], upto[a], upto[b], digest, seen.setdefault(digest, b - 1) < a))
+                    if len(out) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return run
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines of min_words words or more: where they stand, their digest, and whether an equal line stands before in the document.
 
@@ -124,8 +176,22 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, start, end, n_words, kept_doc_id): disjoint spans of repeated passages of whole lines, once for each document.
 
     kept_doc_id is the earliest of the documents that keep a part of the span."""
+    return _spans(_texts(docs).mapInArrow(_runs(min_words), RUN_SCHEMA))
+
+
+def clauses(docs: DataFrame, min_words: int = MIN_WORDS, min_span: int = MIN_SPAN) -> DataFrame:
+    """Like `passages`, of clauses instead of lines; spans of min_span words or more."""
+    with tidy(docs.sparkSession):
+        return _spans(_texts(docs).mapInArrow(_clause_runs(min_words), RUN_SCHEMA)).where(F.col("n_words") >= min_span)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     text = text_of(docs["text"])
-    runs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(_runs(min_words), RUN_SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _spans(runs: DataFrame) -> DataFrame:
+    """Runs that stand earlier too, put together where they touch or overlap."""
     runs = stage(runs, "lines-runs")
     held = runs.where("NOT again").groupBy("digest").agg(F.min("doc_id").alias("holder"), F.count("*").alias("k"))
     held = stage(held.where("k > 1").select(F.col("digest").alias("d"), "holder", F.lit(True).alias("shared")), "lines-runs-held")

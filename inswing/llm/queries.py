@@ -67,7 +67,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(table(spark, sf_dir, "documents")).drop("key")
+    return lines.clauses(table(spark, sf_dir, "documents")).drop("key")
 
 
 @query

@@ -35,13 +35,22 @@ FROM f
 """
 
 ORACLE["op9_line_dedup"] = r"""
-WITH s AS (SELECT doc_id, text, length(text) AS size, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, size, i, ls[i] AS line, i - 1 + coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x))), 0) AS start
-      FROM s, unnest(generate_series(1, len(ls))) AS t(i)),
-u AS (SELECT doc_id, start, least(start + length(line) + 1, size) AS "end", trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM l),
-v AS (SELECT *, len(string_split(norm, ' ')) AS n_words, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, start) AS r,
-      min(doc_id) OVER (PARTITION BY norm) AS kept_doc_id FROM u WHERE len(string_split(norm, ' ')) >= 20)
-SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", n_words, kept_doc_id FROM v WHERE r > 1
+WITH s AS (SELECT doc_id, row_number() OVER () AS rid, length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead,
+      regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ps FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, rid, lead, i, length(ps[i]) AS size, lower(regexp_extract(ps[i], '[^\x20\x09-\x0D]+')) AS w, length(regexp_extract(ps[i], '[^\x20\x09-\x0D]+')) AS chars
+      FROM s, unnest(generate_series(1, len(ps))) AS t(i)),
+o AS (SELECT *, lead + sum(size) OVER p - size AS pos, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?,;:]$') OR length(w) % 6 = 0 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM l WINDOW p AS (PARTITION BY rid ORDER BY i)),
+g0 AS (SELECT doc_id, rid, unit, min(pos) AS start, max(pos + chars) AS "end", string_agg(w, ' ' ORDER BY i) AS norm, count(*) AS n FROM o GROUP BY ALL),
+u AS (SELECT doc_id, rid, unit AS i, start, "end", norm, sum(n) OVER p - n AS before, sum(n) OVER p AS upto FROM g0 WINDOW p AS (PARTITION BY rid ORDER BY unit)),
+e AS (SELECT a.doc_id, a.rid, a.i AS a, a.start, a.before, min(b.i) AS b FROM u a JOIN u b ON a.rid = b.rid AND b.i BETWEEN a.i AND a.i + 19 AND b.upto - a.before >= 20 GROUP BY ALL),
+r AS (SELECT e.doc_id, e.rid, e.a, e.b, e.start, e.before, max(u."end") AS "end", max(u.upto) AS upto, string_agg(u.norm, chr(10) ORDER BY u.i) AS run
+      FROM e JOIN u ON u.rid = e.rid AND u.i BETWEEN e.a AND e.b GROUP BY ALL),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS holder, first_value(b) OVER (PARTITION BY rid, run ORDER BY a) < a AS again FROM r),
+g AS (SELECT *, max(upto) OVER (PARTITION BY rid ORDER BY before ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f WHERE again OR doc_id <> holder),
+h AS (SELECT *, sum(CASE WHEN reached IS NULL OR before > reached THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY before) AS island FROM g)
+SELECT any_value(doc_id) AS doc_id, min(start)::BIGINT AS start, max("end")::BIGINT AS "end", (max(upto) - min(before))::BIGINT AS n_words, min(holder) AS kept_doc_id
+FROM h GROUP BY rid, island HAVING max(upto) - min(before) >= 40
 """
 
 _CUT = ", ".join(f"({r}, {c})" for r, name in enumerate(CUTOFFS) for c in CUTOFFS[name])

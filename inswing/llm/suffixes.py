@@ -33,14 +33,13 @@ result. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from inswing.llm.common import stage, text_of
+from inswing.llm.common import stage, text_of, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -52,20 +51,8 @@ SORTED = 100_000  # contexts that are sorted at once, an anchor's more
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # odd numbers without a pattern
 
 
-@contextmanager
-def _tidy(spark: SparkSession):
-    """What is written inside leaves no shuffle files behind: later steps read the table."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def _written(df: DataFrame, name: str) -> DataFrame:
-    with _tidy(df.sparkSession):
+    with tidy(df.sparkSession):
         return stage(df, f"suffixes-{name}")
 
 
