@@ -18,7 +18,7 @@ of their text; rows that repeat are documents of their own. An empty table gives
 columns are not read. Special tokens written out in a text are encoded as the tokenizer encodes them.
 
 Sample for the dictionary: the documents whose hash of id and text falls below the share that makes SAMPLE of them on
-average, twice as many at most where rows repeat, and SAMPLE_IDS ids of each at most. With too few to train on, frames are
+average, twice as many at most where rows repeat, and of each a window of SAMPLE_IDS ids at a place drawn by hash. With too few to train on, frames are
 written without a dictionary.
 """
 from __future__ import annotations
@@ -27,9 +27,11 @@ import hashlib
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ SAMPLE = 2048
 SAMPLE_IDS = 4096
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
-KNOWN_WORDS = 400_000  # that a worker remembers at once
+KNOWN_WORDS = 600_000  # words, and as many pieces, that a worker remembers at once
 SLICE = 256  # documents encoded together
 HEAD = "<4sB32s"
 TAIL = "<QQ4s"
@@ -55,7 +57,9 @@ MARKS = ".,;:!?"
 
 class Encoder:
     """Ids of whole texts. The tokenizer never joins characters across a blank, so blank-separated pieces are encoded once
-    and remembered; pieces of letters are encoded many at a time and cut at the tokens that end a word."""
+    and remembered; pieces of letters are encoded many at a time and cut at the tokens that end a word. A letter that the
+    tokenizer turns into a letter and a mark (some Turkish, Indic and Hebrew ones) would join what follows, so only stems that
+    stay letters when composed and lower-cased are encoded apart from the marks behind them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one slot
@@ -79,9 +83,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [a.tobytes() for a in self.plain(texts)]
-        if len(self.pieces) + len(self.words) > 2 * KNOWN_WORDS:
-            self.pieces.clear()
-            self.words.clear()
+        for known in (self.pieces, self.words):
+            if len(known) > KNOWN_WORDS:  # the older half goes
+                for k in list(islice(known, len(known) // 2)):
+                    del known[k]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*cut).difference(self.pieces))
         get = self.pieces.__getitem__
@@ -91,7 +96,7 @@ class Encoder:
         stems, marks, rest = [], set(), []
         for p in pieces:
             stem = p.rstrip(MARKS)
-            if stem.isalpha():
+            if stem.isascii() and stem.isalpha() or _stays_letters(stem):
                 stems.append((p, stem.lower() if stem.isascii() else stem, p[len(stem):]))
                 marks.add(p[len(stem):])
             else:
@@ -117,6 +122,10 @@ class Encoder:
                 self.words.update(zip(some, [a.tobytes() for a in self.plain(some)]))
 
 
+def _stays_letters(stem: str) -> bool:
+    return stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", stem).lower()).isalpha()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -148,7 +157,12 @@ def train(docs: DataFrame, tokenizer: str) -> bytes:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for _, texts in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS * e.dtype.itemsize] for x in e.encode(texts)], pa.binary())], names=["ids"])
+            out = []
+            for x in e.encode(texts):
+                spare = max(0, len(x) // e.dtype.itemsize - SAMPLE_IDS)
+                at = zlib.crc32(x) % (spare + 1) * e.dtype.itemsize  # a window at a hashed place
+                out.append(x[at:at + SAMPLE_IDS * e.dtype.itemsize])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     share = SAMPLE / max(1, docs.count())
     drawn = docs.where(F.xxhash64("doc_id", "text").bitwiseAND(2**53 - 1) < int(share * 2**53)) if share < 1 else docs
