@@ -14,9 +14,9 @@ such lines with MIN_WORDS words is digested, and of equal runs the earliest stay
 whole lines is covered by these runs, so every line of a passage that stands earlier goes, and lone short lines stay. A
 run counts as earlier in its own document only if the two don't overlap. Runs that touch or overlap are one span.
 
-`clauses` also finds what is pasted into the middle of a line: its units end behind a word that ends a clause, with one of the
-marks . ! ? , ; : or, for texts without marks, a word whose number of characters is a multiple of BREAK, so that equal
-passages are cut alike wherever they stand. From each unit the shortest run of MIN_WORDS words is digested. Such runs are short, so what repeats is removed only where
+`clauses` also finds what is pasted into the middle of a line: its units end behind a word with one of the marks . ! ? , ; : at
+its end, or the letter r, so that equal passages are cut alike wherever they stand, also where marks are rare. From each
+unit the shortest run of MIN_WORDS words is digested. Such runs are short, so what repeats is removed only where
 they add up to MIN_SPAN words or more in one span; lone phrases that many documents share stay.
 
 Defined results. A null or empty text has no lines. A span runs from a line's first character to its line break,
@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from inswing.llm.common import stage, text_of, tidy
 
 MIN_WORDS = 20
-MIN_SPAN = 40  # words of a span that clauses removes
-BREAK = 6
+MIN_SPAN = 30  # words of a span that clauses removes
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_UNIT = re.compile(r"(?=[^\x20\x09-\x0D])(?s:.*?)(?:[.!?,;:rR](?=[\x20\x09-\x0D]|\Z)|\Z)")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SCHEMA = "doc_id long, key long, start long, end long, n_words long, digest binary, again boolean"
 
 
@@ -119,23 +120,16 @@ def _clause_runs(min_words: int):
         for batch in batches:
             out: list[tuple] = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                starts, ends, words, upto, unit, at = [], [], [], [0], [], 0
-                for m in _WORD.finditer(text):
-                    w = m.group().lower()
-                    if not unit:
-                        at = m.start()
-                    unit.append(w)
-                    if w[-1] in ".!?,;:" or len(w) % BREAK == 0:
-                        starts.append(at)
-                        ends.append(m.end())
-                        words.append(" ".join(unit))
-                        upto.append(upto[-1] + len(unit))
-                        unit = []
-                if unit:
-                    starts.append(at)
+                starts, ends, words, upto = [], [], [], [0]
+                cut = _WORD.findall if _OTHER_SPACE.search(text) else str.split
+                for m in _UNIT.finditer(text):
+                    unit = cut(m.group().lower())
+                    starts.append(m.start())
                     ends.append(m.end())
                     words.append(" ".join(unit))
                     upto.append(upto[-1] + len(unit))
+                if ends:  # the last unit may run on into white space
+                    ends[-1] = len(text.rstrip(" \t\n\v\f\r"))
                 seen: dict[bytes, int] = {}
                 n, b = len(words), 0
                 for a in range(n):

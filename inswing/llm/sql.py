@@ -39,7 +39,7 @@ WITH s AS (SELECT doc_id, row_number() OVER () AS rid, length(text) - length(ltr
       regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ps FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, rid, lead, i, length(ps[i]) AS size, lower(regexp_extract(ps[i], '[^\x20\x09-\x0D]+')) AS w, length(regexp_extract(ps[i], '[^\x20\x09-\x0D]+')) AS chars
       FROM s, unnest(generate_series(1, len(ps))) AS t(i)),
-o AS (SELECT *, lead + sum(size) OVER p - size AS pos, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?,;:]$') OR length(w) % 6 = 0 THEN 1 ELSE 0 END)
+o AS (SELECT *, lead + sum(size) OVER p - size AS pos, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?,;:r]$') THEN 1 ELSE 0 END)
       OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM l WINDOW p AS (PARTITION BY rid ORDER BY i)),
 g0 AS (SELECT doc_id, rid, unit, min(pos) AS start, max(pos + chars) AS "end", string_agg(w, ' ' ORDER BY i) AS norm, count(*) AS n FROM o GROUP BY ALL),
 u AS (SELECT doc_id, rid, unit AS i, start, "end", norm, sum(n) OVER p - n AS before, sum(n) OVER p AS upto FROM g0 WINDOW p AS (PARTITION BY rid ORDER BY unit)),
@@ -50,7 +50,7 @@ f AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS holder, first_value(b) OV
 g AS (SELECT *, max(upto) OVER (PARTITION BY rid ORDER BY before ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM f WHERE again OR doc_id <> holder),
 h AS (SELECT *, sum(CASE WHEN reached IS NULL OR before > reached THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY before) AS island FROM g)
 SELECT any_value(doc_id) AS doc_id, min(start)::BIGINT AS start, max("end")::BIGINT AS "end", (max(upto) - min(before))::BIGINT AS n_words, min(holder) AS kept_doc_id
-FROM h GROUP BY rid, island HAVING max(upto) - min(before) >= 40
+FROM h GROUP BY rid, island HAVING max(upto) - min(before) >= 30
 """
 
 _CUT = ", ".join(f"({r}, {c})" for r, name in enumerate(CUTOFFS) for c in CUTOFFS[name])
