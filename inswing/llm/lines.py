@@ -192,7 +192,8 @@ def _spans(runs: DataFrame) -> DataFrame:
     both = runs.join(held, F.col("digest") == F.col("d"), "left")
     gone = F.col("again") | (F.coalesce("shared", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("holder")))
     place = ["doc_id", "key", "start", "end", "before", "upto"]
-    once = both.where(gone).select(*place, F.when(F.col("shared"), F.col("holder")).otherwise(F.col("doc_id")).alias("holder")).groupBy(*place).agg(F.min("holder").alias("holder"))
+    # written, as the join's shuffle is the largest; rows that repeat have equal runs, which change no span
+    once = stage(both.where(gone).select(*place, F.when(F.col("shared"), F.col("holder")).otherwise(F.col("doc_id")).alias("holder")), "lines-again")
     # the runs of one document, which leave it as spans; words, not offsets, tell neighbours, as blank lines may stand between
     order = Window.partitionBy("doc_id", "key").orderBy("before", "upto")
     fresh = F.coalesce(F.col("before") > F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
