@@ -6,13 +6,14 @@ from inswing.llm.quality import CATCH, CUTOFFS, DELTA, MIN_WORDS, REPEAT_PERCENT
 ORACLE: dict[str, str] = {}
 
 ORACLE["op3_decontamination"] = r"""
-WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-item AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(generate_series(1, len(w) - 4)) AS t(i)),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM item, unnest(generate_series(1, len(w) - 4)) AS t(i)),
-n AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY item_id)
-SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
-FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
+WITH doc AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+size AS (SELECT DISTINCT least(len(w), 5) AS k FROM item WHERE len(w) > 0),
+dg AS (SELECT DISTINCT doc_id, rid, array_to_string(w[i:i + k - 1], ' ') AS g FROM doc, size, unnest(generate_series(1, len(w) - k + 1)) AS t(i)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM item, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY item_id),
+s AS (SELECT doc_id, rid, item_id, item_shingles, count(*) AS shared FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * item_shingles)
+SELECT doc_id, item_id, item_shingles, max(shared) AS shared, max(shared) / item_shingles AS containment FROM s GROUP BY doc_id, item_id, item_shingles
 """
 
 ORACLE["op6_chat_formatting"] = r"""

@@ -211,20 +211,52 @@ def test_decontamination(spark, frame, odd, clashing):
         (1, f"{prose(5000, 60)} {prose(15, 50)} {prose(5000, 61)}"), (2, prose(40, 51).upper()), (3, near(prose(40, 51), 20)), (4, near(prose(40, 51), 10, 20)), (5, prose(20, 52)),
         (6, " ".join(prose(40, 51).split()[:36])), (None, prose(40, 51)), (7, "too short"), (8, f"{prose(15, 50)} {prose(15, 50)}"), (8, f"{prose(15, 50)} {prose(15, 50)}")]).unionByName(odd)
 
+    def grams(text, k):
+        w = text.lower().split()
+        return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
+
     def contained(text, item):
-        q = brute.shingles(item)
-        return len(q & brute.shingles(text)) / len(q)
+        k = min(5, len(item.split()))
+        q = grams(item, k)
+        return len(q & grams(text, k)) / len(q)
 
     want = sorted({(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect()
-                   if d.doc_id is not None and i.item_id is not None and len((i.text or "").split()) >= 5 and d.text and contained(d.text, i.text) >= 0.8 - 1e-9})
+                   if i.item_id is not None and (i.text or "").split() and d.text and contained(d.text, i.text) >= 0.8 - 1e-9}, key=str)
     got = decontaminate.containment(docs, items)
-    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want and {1, 2, 3, 6, 8} <= {d for d, _ in want}
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == want and {1, 2, 3, 6, 7, 8, None} <= {d for d, _ in want}
+    stays = [(d.doc_id, d.text) for d in docs.collect()  # each row by its own text, with an id or without
+             if not any(d.text and contained(d.text, i.text) >= 0.8 - 1e-9 for i in items.collect() if i.item_id is not None and (i.text or "").split())]
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.remove(docs, items).collect()), key=str) == sorted(stays, key=str)
+    assert (None, prose(40, 51)) not in stays and (None, prose(80, 1)) in stays
     clean = decontaminate.remove(clashing, items)
     assert clean.columns == clashing.columns and clean.count() == len(ODD)
     assert decontaminate.containment(docs.limit(0), items).count() == 0
     assert decontaminate.containment(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_inside_documents(spark, frame, odd):
+    """Items of one to four words by brute force, a third of all documents copies of one text without an id."""
+    items = spark.createDataFrame([(1, "Gold"), (2, "red  gold"), (3, "a b c"), (4, "a b c d"), (5, "a b c d e f g"), (6, ""), (7, "a b c d"), (8, "gold"), (8, "e f")], "item_id long, text string")
+    docs = frame([(1, "the red gold coin"), (2, "goldred gold, x"), (3, "a b\nc d"), (4, "d c b a"), (5, "x a b c d e f g y"), (6, "a b c e f gold")]
+                 + [(None, "of gold and a b c")] * 8).unionByName(odd)
+
+    def grams(w, k):
+        return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
+
+    sets = {}
+    for i in items.collect():
+        w = i.text.lower().split()
+        sets.setdefault(i.item_id, set()).update(grams(w, min(5, len(w))) if w else set())
+    want = set()
+    for d in docs.collect():
+        w = (d.text or "").lower().split()
+        has = set().union(*[grams(w, k) for k in range(1, 6)])
+        want |= {(d.doc_id, i, len(q), len(q & has)) for i, q in sets.items() if q and len(q & has) >= 0.8 * len(q)}
+    got = [(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in decontaminate.containment(docs, items).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {(None, 1, 1, 1), (None, 3, 1, 1), (6, 8, 2, 2), (5, 5, 3, 3)} <= want
+    assert not [r for r in decontaminate.remove(docs, items).collect() if r.text == "of gold and a b c"]
+
+
 # --- line deduplication
 
 def test_lines(frame, odd, clashing):
