@@ -309,6 +309,29 @@ def test_mixing_targets_and_takings(spark, frame, monkeypatch):
     assert mixing.materialise(docs).count() == sum(r.copies for r in got)
 
 
+def test_mixing_rows_of_one_id(frame, monkeypatch):
+    """A third of all rows under one id, null or not, and a third copies of one row: each row counts by itself."""
+    monkeypatch.setattr(mixing, "LEAF", 16)
+    for hot in (None, 7):
+        rows = [(hot if i % 3 == 0 else i + 100, prose(300 if i % 3 == 2 else 4 + i % 50, 9 if i % 3 == 2 else i), "en", "ab"[i % 2]) for i in range(600)]
+        docs = frame([((5,) + r[1:] if len(r[1].split()) == 300 else r) for r in rows]).repartition(5)
+        got = mixing.report(docs).collect()
+        size_of = {}
+        for r in docs.collect():
+            size_of[r.source] = size_of.get(r.source, 0) + len(r.text.split())
+        want = water(size_of)
+        by_target = {}
+        for r in got:
+            assert r.copies in (0, 1, 2)
+            by_target[r.target] = by_target.get(r.target, 0) + r.taken
+        assert len(got) == 600 and all(min(abs(t - w) for w in want.values()) < 1e-6 and abs(n - t) <= 300 for t, n in by_target.items())
+        alike = [r.copies for r in got if r["size"] == 300 and r.doc_id == 5]
+        assert len(alike) == 200 and len(set(alike)) > 1  # copies of a row are taken one by one
+        assert len({r.copies for r in got if r.doc_id == hot}) > 1
+        mixed = [r.text for r in mixing.materialise(docs).collect()]
+        assert len(mixed) == sum(r.copies for r in got) and sum(len(t.split()) for t in mixed) == sum(r.taken for r in got)
+
+
 def test_mixing_keeps_expectations():
     import random
     rnd, hits = random.Random(1), [0] * 6
