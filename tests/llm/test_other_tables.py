@@ -1,6 +1,8 @@
 """Chats, the archive, and the pipeline."""
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def test_archive_sees_damage(spark, tmp_path):
         warc.read(spark, path).collect()
 
 
+def test_archive_rebuilds_hot_and_long_pages(spark, tmp_path):
+    """A third of all pages share a small payload, a third a large one, one page is very long, one payload is lost."""
+    rows = [(i if i % 3 else None, f"u{i}", ["tiny", "L" * 1500, f"own {i} " * 300][i % 3]) for i in range(300)] + [(1000, "long", "é" * 2_000_000)]
+    path = str(tmp_path / "archive")
+    warc.write(pages(spark, rows), path)
+    got = warc.read(spark, path).collect()
+    assert sorted((r.payload_bytes for r in got)) == sorted(len(h.encode()) for _, _, h in rows)
+    assert sorted((r.payload_digest for r in got)) == sorted(hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows)
+    large = [r for r in got if r.payload_bytes == 1500]
+    assert sorted(r.record_type for r in large) == ["response"] + ["revisit"] * 99 and {r.refers_to for r in large} == {None, 298}
+    left = spark.read.parquet(f"{path}/payloads").where(F.octet_length("payload") != 4).collect()
+    spark.createDataFrame(left, "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    assert {r.payload_bytes for r in warc.verify(spark, path).collect()} == {4} and warc.verify(spark, path).count() == 100
+
+
 def test_archive_odd(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
     twice = [tuple(r) for r in warc.round_trip(pages(spark, [(1, "a", "x" * 2000)] * 2)).collect()]
