@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inswing.catalog.q_evidence import _BATW, _BDIM, print_sql
 from inswing.catalog.registry import add
-from inswing.models import chase, nextball as NB
+from inswing.models import bootstrap as B, chase, nextball as NB
 from inswing.operators import similar as V
 
 _FEAT = """(SELECT delivery_id, match_id, start_date, batter_id, bowler_id, format_group AS fmt, phase, CASE WHEN wickets_before > 5 THEN '6+' WHEN wickets_before > 2 THEN '3-5' ELSE '0-2' END AS wk,
@@ -49,6 +49,34 @@ add("M05_evaluation", "fmt n:i log_loss:f brier:f top1:f", f"""WITH {_CTX}, {_PR
     avg((hit = list_max(pred))::INT) AS top1 FROM sc GROUP BY 1""", lambda ws: NB.evaluate(NB.scored(ws, _CUT)))
 add("T19_calibration_bins", "fmt bin:i n:i mean_p:f rate:f", f"WITH {_CTX}, {_PRED} SELECT fmt, least(floor(pred[7] * 10), 9) AS bin, count(*) AS n, avg(pred[7]) AS mean_p, avg((y = 'WICKET')::INT) AS rate FROM sc GROUP BY 1, 2",
     lambda ws: NB.calibration(NB.scored(ws, _CUT)))
+
+
+def _intervals(keys: str, ratios: dict[str, tuple[str, str]], rows: str) -> str:
+    """Weighted sums of `rows` (keys, match_id, sums) in every draw, and percentiles of their ratios."""
+    sums = sorted({x for pair in ratios.values() for x in pair})
+    steps = ", ".join(map(str, B.STEPS))
+    totals = ", ".join(f"sum(w * {x}) AS {x}" for x in sums)
+    each = " UNION ALL ".join(f"SELECT {keys}, draw, matches, '{m}' AS metric, {a} / nullif({b}, 0) AS r FROM reps" for m, (a, b) in ratios.items())
+    return f"""per_match AS (SELECT {keys}, match_id, {', '.join(f'sum({x}) AS {x}' for x in sums)} FROM {rows} GROUP BY ALL),
+      drawn AS (SELECT *, CASE WHEN draw = 0 THEN 1 ELSE len(list_filter([{steps}], lambda s: s <= ('0x' || substr(md5('{B.SEED}:' || draw || ':' || match_id), 1, 8))::BIGINT)) END AS w
+        FROM per_match, unnest(range(0, {B.DRAWS + 1})) AS d(draw)),
+      reps AS (SELECT {keys}, draw, sum(w) AS matches, {totals} FROM drawn WHERE w > 0 GROUP BY ALL), long AS ({each})
+      SELECT {keys}, metric, max(r) FILTER (WHERE draw = 0) AS value, quantile_cont(r, {(1 - B.LEVEL) / 2}) FILTER (WHERE draw > 0) AS lo,
+        quantile_cont(r, {(1 + B.LEVEL) / 2}) FILTER (WHERE draw > 0) AS hi, max(matches) FILTER (WHERE draw = 0) AS matches FROM long GROUP BY {keys}, metric"""
+
+
+_LOSS = """loss AS (SELECT f.match_id, sc.fmt, coalesce(f.phase, 'none') AS phase, coalesce(f.press, 'none') AS press, 1e0 AS balls, -ln(greatest(hit, 1e-12)) AS loss,
+    list_sum(list_transform(pred, lambda x: x * x)) - 2 * hit + 1 AS square, (hit = list_max(pred))::INT::DOUBLE AS "right", (sc.y = 'WICKET')::INT - pred[7] AS excess FROM sc JOIN feat f USING (delivery_id)),
+  cut AS (SELECT * REPLACE ('all' AS phase, 'all' AS press) FROM loss UNION ALL SELECT * REPLACE ('all' AS press) FROM loss UNION ALL SELECT * REPLACE ('all' AS phase) FROM loss)"""
+_METRICS = {m: tuple('"right"' if x == "right" else x for x in pair) for m, pair in B.METRICS.items()}
+add("M18_metric_intervals", "fmt phase press metric value:f lo:f hi:f matches:i", f"WITH {_CTX}, {_PRED}, feat AS (FROM {_FEAT}), {_LOSS}, {_intervals('fmt, phase, press', _METRICS, 'cut')}",
+    lambda ws: B.slices(NB.scored(ws, _CUT)))
+_RATES = "(SELECT match_id, format_group, gender, phase, legal::INT::DOUBLE AS legal, runs_total::DOUBLE AS runs, striker_credited::INT::DOUBLE AS wickets FROM balls)"
+add("T21_rate_intervals", "format_group gender phase metric value:f lo:f hi:f matches:i",
+    f"WITH {_intervals('format_group, gender, phase', {'runs': ('runs', 'legal'), 'wickets': ('wickets', 'legal')}, _RATES)}", lambda ws: B.rates(ws["balls"]))
+add("T19_expected_error", "fmt n:i ece:f", f"""WITH {_CTX}, {_PRED} SELECT fmt, sum(n) AS n, sum(n * abs(rate - mean_p)) / sum(n) AS ece FROM (
+    SELECT fmt, least(floor(pred[7] * 10), 9) AS bin, count(*) AS n, avg(pred[7]) AS mean_p, avg((y = 'WICKET')::INT) AS rate FROM sc GROUP BY 1, 2) GROUP BY 1""",
+    lambda ws: B.expected_error(NB.calibration(NB.scored(ws, _CUT))))
 add("M21_scoring_rules", "delivery_id inverse:f log:f flat:f confidence:f", f"""WITH {_CTX}, {_PRED} SELECT delivery_id, CASE WHEN r THEN 10 / m ELSE 0 END AS inverse, CASE WHEN r THEN 10 * log2(1 / m) ELSE 0 END AS log, CASE WHEN r THEN 10 ELSE 0 END AS flat,
     100 * (1 - s / 2) AS confidence FROM (SELECT *, list_max(pred) AS m, hit = list_max(pred) AS r, list_sum(list_transform(pred, lambda x: x * x)) - 2 * hit + 1 AS s FROM sc)""", lambda ws: NB.pick_scores(NB.scored(ws, _CUT)))
 _CELL = """(SELECT format_group, gender, ceil((innings_balls_limit - legal_balls_before) / 6e0)::INT AS overs_left, wickets_before AS wickets, avg(total_runs - score_before) AS r, count(*) AS n
