@@ -193,5 +193,6 @@ def materialise(docs: DataFrame) -> DataFrame:
     facts = held.select("row_number", "row.source", "row.doc_id", "row.text")
     rows = stage(_facts(facts, "text", F.col("row_number")), "mixing-rows")
     copies = mix(rows).where("copies > 0").select(F.col("row").alias("place"), "copies")
-    joined = held.join(stage(copies, "mixing-taken"), F.col("row_number") == F.col("place"))
+    # a row a document: never a side to broadcast, so the plan is the same at every size
+    joined = held.join(stage(copies, "mixing-taken").hint("merge"), F.col("row_number") == F.col("place"))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
