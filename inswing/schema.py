@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, F, B, D = (T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType())
+S, I, F, B, D = (T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.DateType())
 TEXTS = T.ArrayType(S)
 
 
@@ -11,94 +11,270 @@ def struct(spec: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in spec])
 
 
-def _fields(kind: T.DataType, names: str) -> list[tuple[str, T.DataType]]:
-    return [(name, kind) for name in names.split()]
-
-
-PROVENANCE = _fields(S, "prov prov_source_id prov_method prov_method_version") + [("prov_confidence", F)]
-
-MATCHES = struct(
-    _fields(S, "match_id source_id source_ref source_checksum data_version source_created")
-    + [("source_revision", I)]
-    + _fields(S, "gender match_type format_group team_type")
-    + [("match_type_number", I)]
-    + _fields(S, "competition event_match_number event_group event_stage season")
-    + [("start_date", D), ("end_date", D), ("n_days", I)]
-    + _fields(S, "venue city team1 team2 toss_winner toss_decision")
-    + [("toss_uncontested", B), ("winner", S)]
-    + _fields(I, "win_by_runs win_by_wickets win_by_innings")
-    + _fields(S, "result method eliminator")
-    + _fields(I, "balls_per_over scheduled_overs")
-    + [("player_of_match", TEXTS), ("missing_flags", S), ("ingested_at", S)]
-)
-
-INNINGS = struct(
-    [("match_id", S), ("innings_no", I), ("batting_team", S), ("bowling_team", S)]
-    + _fields(B, "super_over declared forfeited")
-    + [("target_runs", I), ("target_overs", F), ("target_prov", S)]
-    + _fields(I, "penalty_runs_pre penalty_runs_post")
-    + [("absent_hurt", TEXTS)]
-    + _fields(I, "total_runs total_wickets legal_balls")
-)
-
-PLAYERS_IN_MATCH = struct(_fields(S, "match_id team person_id name") + [("identity_resolved", B)])
-
-DELIVERIES = struct(
-    [("delivery_id", S), ("match_id", S)]
-    + _fields(I, "innings_no seq over ball_in_over")
-    + [("ball_label", S), ("legal", B)]
-    + _fields(S, "batter_id bowler_id non_striker_id batter bowler non_striker")
-    + _fields(I, "runs_batter runs_extras runs_total")
-    + [("non_boundary", B)]
-    + _fields(I, "wides noballs byes legbyes penalty")
-    + [("is_four", B), ("is_six", B), ("n_wickets", I), ("source_id", S)]
-    + _fields(I, "score_before wickets_before legal_balls_before batter_runs_before batter_balls_before "
-                 "partnership_runs_before partnership_balls_before")
-    + [("phase", S), ("chasing", B)]
-    + _fields(I, "target_runs balls_remaining runs_required")
-    + _fields(F, "required_rate current_rate")
-)
-
-WICKETS = struct(
-    [("delivery_id", S), ("match_id", S), ("innings_no", I), ("wicket_idx", I)]
-    + _fields(S, "player_out_id player_out kind")
-    + _fields(B, "bowler_credited counts_as_dismissal striker_out")
-    + [("source_id", S)]
-)
-
-WICKET_FIELDERS = struct(
-    [("delivery_id", S), ("match_id", S)]
-    + _fields(I, "innings_no wicket_idx fielder_idx")
-    + [("fielder_id", S), ("fielder", S), ("substitute", B), ("source_id", S)]
-)
-
-REVIEWS = struct(_fields(S, "delivery_id match_id by_team umpire batter decision") + [("umpires_call", B), ("type", S)])
-REPLACEMENTS = struct(_fields(S, "delivery_id match_id scope team player_in player_out reason role"))
-POWERPLAYS = struct([("match_id", S), ("innings_no", I), ("from_over", F), ("to_over", F), ("type", S)])
-PERSONS = struct(_fields(S, "person_id name unique_name") + [("external_ids", T.MapType(S, S)), ("source_id", S)])
-
-DELIVERY_TRACKING = struct(
-    [("delivery_id", S)]
-    + _fields(F, "release_x_m release_y_m release_z_m speed_release_kph speed_pitch_kph pitch_x_m pitch_y_m")
-    + _fields(S, "line_bucket length_bucket")
-    + _fields(F, "bounce_height_m swing_deg seam_deg spin_rpm arrival_x_m arrival_z_m")
-    + [("trajectory_ref", S)] + PROVENANCE
-)
-DELIVERY_SHOT = struct(
-    _fields(S, "delivery_id shot_type shot_family foot") + _fields(F, "direction_deg distance_m")
-    + _fields(S, "control edge_type") + PROVENANCE
-)
-DELIVERY_FIELDING = struct(
-    _fields(S, "delivery_id fielder_id position_label") + _fields(F, "x_m y_m") + [("action", S)] + PROVENANCE
-)
-DELIVERY_CONTACT = struct(_fields(S, "delivery_id contact_zone") + _fields(F, "contact_x contact_y") + PROVENANCE)
-
-PLAYER_METADATA = struct(
-    _fields(S, "person_id field value prov source_id method") + [("confidence", F), ("is_override", B), ("evidence", S)]
-)
-SOURCE_MISSING_MATCHES = struct([("start_date", D)] + _fields(S, "competition team1 team2 gender"))
-SOURCE_COVERAGE_PERIODS = struct([("competition", S), ("coverage_from", D), ("coverage_to", D)])
-SOURCE_COVERAGE_PCT = struct([("competition", S), ("have", I), ("of", I)])
+# Names, types and order of the columns of the canonical tables.
+PROVENANCE = [
+    ("prov", S),
+    ("prov_source_id", S),
+    ("prov_method", S),
+    ("prov_method_version", S),
+    ("prov_confidence", F),
+]
+
+MATCHES = struct([
+    ("match_id", S),
+    ("source_id", S),
+    ("source_ref", S),
+    ("source_checksum", S),
+    ("data_version", S),
+    ("source_created", S),
+    ("source_revision", I),
+    ("gender", S),
+    ("match_type", S),
+    ("format_group", S),
+    ("team_type", S),
+    ("match_type_number", I),
+    ("competition", S),
+    ("event_match_number", S),
+    ("event_group", S),
+    ("event_stage", S),
+    ("season", S),
+    ("start_date", D),
+    ("end_date", D),
+    ("n_days", I),
+    ("venue", S),
+    ("city", S),
+    ("team1", S),
+    ("team2", S),
+    ("toss_winner", S),
+    ("toss_decision", S),
+    ("toss_uncontested", B),
+    ("winner", S),
+    ("win_by_runs", I),
+    ("win_by_wickets", I),
+    ("win_by_innings", I),
+    ("result", S),
+    ("method", S),
+    ("eliminator", S),
+    ("balls_per_over", I),
+    ("scheduled_overs", I),
+    ("player_of_match", TEXTS),
+    ("missing_flags", S),
+    ("ingested_at", S),
+])
+
+INNINGS = struct([
+    ("match_id", S),
+    ("innings_no", I),
+    ("batting_team", S),
+    ("bowling_team", S),
+    ("super_over", B),
+    ("declared", B),
+    ("forfeited", B),
+    ("target_runs", I),
+    ("target_overs", F),
+    ("target_prov", S),
+    ("penalty_runs_pre", I),
+    ("penalty_runs_post", I),
+    ("absent_hurt", TEXTS),
+    ("total_runs", I),
+    ("total_wickets", I),
+    ("legal_balls", I),
+])
+
+PLAYERS_IN_MATCH = struct([
+    ("match_id", S),
+    ("team", S),
+    ("person_id", S),
+    ("name", S),
+    ("identity_resolved", B),
+])
+
+DELIVERIES = struct([
+    ("delivery_id", S),
+    ("match_id", S),
+    ("innings_no", I),
+    ("seq", I),
+    ("over", I),
+    ("ball_in_over", I),
+    ("ball_label", S),
+    ("legal", B),
+    ("batter_id", S),
+    ("bowler_id", S),
+    ("non_striker_id", S),
+    ("batter", S),
+    ("bowler", S),
+    ("non_striker", S),
+    ("runs_batter", I),
+    ("runs_extras", I),
+    ("runs_total", I),
+    ("non_boundary", B),
+    ("wides", I),
+    ("noballs", I),
+    ("byes", I),
+    ("legbyes", I),
+    ("penalty", I),
+    ("is_four", B),
+    ("is_six", B),
+    ("n_wickets", I),
+    ("source_id", S),
+    ("score_before", I),
+    ("wickets_before", I),
+    ("legal_balls_before", I),
+    ("batter_runs_before", I),
+    ("batter_balls_before", I),
+    ("partnership_runs_before", I),
+    ("partnership_balls_before", I),
+    ("phase", S),
+    ("chasing", B),
+    ("target_runs", I),
+    ("balls_remaining", I),
+    ("runs_required", I),
+    ("required_rate", F),
+    ("current_rate", F),
+])
+
+WICKETS = struct([
+    ("delivery_id", S),
+    ("match_id", S),
+    ("innings_no", I),
+    ("wicket_idx", I),
+    ("player_out_id", S),
+    ("player_out", S),
+    ("kind", S),
+    ("bowler_credited", B),
+    ("counts_as_dismissal", B),
+    ("striker_out", B),
+    ("source_id", S),
+])
+
+WICKET_FIELDERS = struct([
+    ("delivery_id", S),
+    ("match_id", S),
+    ("innings_no", I),
+    ("wicket_idx", I),
+    ("fielder_idx", I),
+    ("fielder_id", S),
+    ("fielder", S),
+    ("substitute", B),
+    ("source_id", S),
+])
+
+REVIEWS = struct([
+    ("delivery_id", S),
+    ("match_id", S),
+    ("by_team", S),
+    ("umpire", S),
+    ("batter", S),
+    ("decision", S),
+    ("umpires_call", B),
+    ("type", S),
+])
+
+REPLACEMENTS = struct([
+    ("delivery_id", S),
+    ("match_id", S),
+    ("scope", S),
+    ("team", S),
+    ("player_in", S),
+    ("player_out", S),
+    ("reason", S),
+    ("role", S),
+])
+
+POWERPLAYS = struct([
+    ("match_id", S),
+    ("innings_no", I),
+    ("from_over", F),
+    ("to_over", F),
+    ("type", S),
+])
+
+PERSONS = struct([
+    ("person_id", S),
+    ("name", S),
+    ("unique_name", S),
+    ("external_ids", T.MapType(S, S)),
+    ("source_id", S),
+])
+
+DELIVERY_TRACKING = struct([
+    ("delivery_id", S),
+    ("release_x_m", F),
+    ("release_y_m", F),
+    ("release_z_m", F),
+    ("speed_release_kph", F),
+    ("speed_pitch_kph", F),
+    ("pitch_x_m", F),
+    ("pitch_y_m", F),
+    ("line_bucket", S),
+    ("length_bucket", S),
+    ("bounce_height_m", F),
+    ("swing_deg", F),
+    ("seam_deg", F),
+    ("spin_rpm", F),
+    ("arrival_x_m", F),
+    ("arrival_z_m", F),
+    ("trajectory_ref", S),
+] + PROVENANCE)
+
+DELIVERY_SHOT = struct([
+    ("delivery_id", S),
+    ("shot_type", S),
+    ("shot_family", S),
+    ("foot", S),
+    ("direction_deg", F),
+    ("distance_m", F),
+    ("control", S),
+    ("edge_type", S),
+] + PROVENANCE)
+
+DELIVERY_FIELDING = struct([
+    ("delivery_id", S),
+    ("fielder_id", S),
+    ("position_label", S),
+    ("x_m", F),
+    ("y_m", F),
+    ("action", S),
+] + PROVENANCE)
+
+DELIVERY_CONTACT = struct([
+    ("delivery_id", S),
+    ("contact_zone", S),
+    ("contact_x", F),
+    ("contact_y", F),
+] + PROVENANCE)
+
+PLAYER_METADATA = struct([
+    ("person_id", S),
+    ("field", S),
+    ("value", S),
+    ("prov", S),
+    ("source_id", S),
+    ("method", S),
+    ("confidence", F),
+    ("is_override", B),
+    ("evidence", S),
+])
+
+SOURCE_MISSING_MATCHES = struct([
+    ("start_date", D),
+    ("competition", S),
+    ("team1", S),
+    ("team2", S),
+    ("gender", S),
+])
+
+SOURCE_COVERAGE_PERIODS = struct([
+    ("competition", S),
+    ("coverage_from", D),
+    ("coverage_to", D),
+])
+
+SOURCE_COVERAGE_PCT = struct([
+    ("competition", S),
+    ("have", I),
+    ("of", I),
+])
 
 CANONICAL: dict[str, T.StructType] = {
     "matches": MATCHES,
