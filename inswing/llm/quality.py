@@ -1,19 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
 A document is scored by five rules; a higher score is worse, and a rule rejects what scores above its cutoff. For each
-stratum (language) and rule the cutoff is chosen on labelled documents: going from the most lenient cutoff of a fixed
-grid to stricter ones, a cutoff is accepted while the exact binomial test rejects "more than risk / rules of the good
-documents score above it", at level delta / (rules * strata). Bonferroni covers rules and strata; within a grid the
-order is fixed and the count of false rejections only grows, so testing stops at the first failure and needs no further
-correction. With probability 1 - delta no stratum loses more than `risk` of its good documents, whichever of the accepted
-cutoffs is used; of those, the most lenient is taken that still catches `catch` of the bad documents that the strictest does.
-
-Split over rules, a stratum needs log(rules * strata / delta) / -log(1 - risk / rules) good labels before any test can succeed.
-`certify_all` takes the strata with fewer through one fixed path of cutoffs for all rules together (PATH): the good documents
-that any rule rejects are tested at `risk` and delta / strata, step by step until the first failure, which needs a fifth of
-those labels. A stratum goes one way or the other by its number of good labels alone, so the guarantee is the same.
-`certify` and `verdicts` as op1_quality_rules calls it are rule by rule only, as its SQL states them; the pipeline and
-op1_joint_rules use `certify_all`.
+stratum (language) the cutoffs of all rules are chosen together on labelled documents, along one fixed path of cutoffs from
+lenient to strict (PATH): a step is accepted while the exact binomial test rejects "more than risk of the good documents
+score above one of its cutoffs" at level delta / strata. Bonferroni covers the strata; along a path the order is fixed and
+the count of false rejections only grows, so testing stops at the first failure and needs no further correction. With
+probability 1 - delta no stratum loses more than `risk` of its good documents, whichever of the accepted steps is used; of
+those, the most lenient is taken that still catches `catch` of the bad documents that the strictest does. A stratum needs
+log(strata / delta) / -log(1 - risk) good labels that pass the base rules before any test can succeed: 217 for four strata.
+
+`certify` is the other split of the risk, rule by rule: each rule has its own cutoff, tested at risk / rules and delta / (rules *
+strata). It needs five times the labels and more, and is for callers who ask for it.
 
 Defined results. A null text has no words and fails the base rules; a null stratum is a stratum of its own. A stratum
 without labels, or with too few to certify any cutoff, keeps all that passes the base rules. Labels without a document,
@@ -163,7 +160,7 @@ def certify(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", st
 
 def certify_jointly(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc_id", stratum: str = "row.lang",
                     risk: float = RISK, delta: float = DELTA, catch: float = CATCH) -> DataFrame:
-    """Cutoffs on PATH, as `certify` returns them, of the strata with too few good labels for any test rule by rule."""
+    """Cutoffs by stratum, all on one step of PATH: (stratum, cutoffs array in the order of CUTOFFS); no row where no step is certified."""
     # the first step of PATH that rejects a document; a level of n exceeds the n last places of the rule's grid
     first = [[len(PATH)] + [min(t for t, c in enumerate(PATH) if c[r] <= grid[-n]) for n in range(1, len(grid) + 1)] for r, grid in enumerate(_GRID)]
     step = F.array_min(F.array(*[F.get(F.array(*map(F.lit, f)), F.get("x", F.lit(r))["level"]) for r, f in enumerate(first)]))
@@ -174,10 +171,9 @@ def certify_jointly(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc
     strata = max(1, held.where("m > 0").select("stratum").distinct().count())
     rejected = lambda field: F.aggregate(
         "by", F.lit(0).cast("long"), lambda s, x: s + F.when(x["step"] <= F.col("at"), x[field]).otherwise(0))
-    few = binomial_tail(F.lit(0).cast("long"), F.col("n"), risk / len(CUTOFFS)) > delta / (strata * len(CUTOFFS))
     tested = (
         held.groupBy("stratum").agg(F.sum("m").alias("n"), F.collect_list(F.struct("step", "m", "bad")).alias("by"))
-        .where((F.col("n") > 0) & few).select("stratum", "n", "by", F.posexplode(F.array(*[F.array(*map(F.lit, c)) for c in PATH])).alias("at", "cutoffs"))
+        .where("n > 0").select("stratum", "n", "by", F.posexplode(F.array(*[F.array(*map(F.lit, c)) for c in PATH])).alias("at", "cutoffs"))
         .withColumns({"k": rejected("m"), "caught": rejected("bad")}))
     # the count of false rejections only grows along the path, so these are the steps before the first failure
     sure = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / strata)
@@ -186,11 +182,6 @@ def certify_jointly(scored: DataFrame, labels: DataFrame, doc_id: str = "row.doc
     return chosen.groupBy("stratum").agg(F.min_by("cutoffs", "at").alias("cutoffs"))
 
 
-def certify_all(scored: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Cutoffs as `certify` returns them: rule by rule where a stratum has the labels for it, else jointly."""
-    return certify(scored, labels, **options).unionByName(certify_jointly(scored, labels, **options))
-
-
 def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "row.lang") -> DataFrame:
     """`scored` with the boolean `kept`."""
     c = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"))
@@ -200,7 +191,7 @@ def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "row.lang") -> D
         .withColumn("kept", ~F.col("q.base_failed") & ~F.coalesce(above, F.lit(False))).drop("_stratum", "_cutoffs"))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, cutoffs: Callable[[DataFrame, DataFrame], DataFrame] = certify) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, cutoffs: Callable[[DataFrame, DataFrame], DataFrame] = certify_jointly) -> DataFrame:
     """A narrow row for each document: base counts, base_failed and kept."""
     scored = stage(score(docs).select(F.struct("row.doc_id", "row.lang").alias("row"), "q"), "quality-scores")
     out = judge(scored, stage(cutoffs(scored, labels), "quality-cutoffs"))
@@ -210,4 +201,4 @@ def verdicts(docs: DataFrame, labels: DataFrame, cutoffs: Callable[[DataFrame, D
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
     scored = stage(score(docs), "quality-documents")
-    return judge(scored, stage(certify_all(scored, labels), "quality-cutoffs")).where("kept").select("row.*")
+    return judge(scored, stage(certify_jointly(scored, labels), "quality-cutoffs")).where("kept").select("row.*")

@@ -25,11 +25,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
-def op1_joint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.certify_all)
-
-
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -1,7 +1,7 @@
 """DuckDB statements for the queries that SQL can express."""
 from __future__ import annotations
 
-from inswing.llm.quality import CATCH, CUTOFFS, DELTA, MIN_WORDS, REPEAT_PERCENT, RISK
+from inswing.llm.quality import CATCH, DELTA, MIN_WORDS, PATH, REPEAT_PERCENT, RISK
 
 ORACLE: dict[str, str] = {}
 
@@ -17,8 +17,8 @@ SELECT doc_id, item_id, item_shingles, max(shared) AS shared, max(shared) / item
 """
 
 ORACLE["op6_chat_formatting"] = r"""
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS rid, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id, rid),
 w AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, ts FROM c GROUP BY ts),
 p AS (SELECT DISTINCT ts[1:k] AS ts FROM c, unnest(generate_series(1, len(ts) - 1)) AS u(k))
 SELECT conv_id, len(ts) AS n_turns, copies, array_to_string(list_transform(ts, lambda x:
@@ -54,38 +54,35 @@ SELECT any_value(doc_id) AS doc_id, min(start)::BIGINT AS start, max("end")::BIG
 FROM h GROUP BY rid, island HAVING max(upto) - min(before) >= 30
 """
 
-_CUT = ", ".join(f"({r}, {c})" for r, name in enumerate(CUTOFFS) for c in CUTOFFS[name])
-_RISK = RISK / len(CUTOFFS)
+_PATH = ", ".join(f"({step}, {r}, {c})" for step, cutoffs in enumerate(PATH) for r, c in enumerate(cutoffs))
 
 ORACLE["op1_quality_rules"] = rf"""
-WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t,
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS u(i)),
-r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
-b AS (SELECT w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+g AS (SELECT rid, i, w[i:i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS u(i)),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM r, unnest([i, i + 1, i + 2]) AS u(p) GROUP BY rid),
+b AS (SELECT w.rid, w.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
-  length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper FROM w LEFT JOIN c USING (doc_id)),
+  length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, [
   CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END,
   CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END,
   CASE WHEN n_words > 0 THEN 1 - n_distinct / n_words ELSE 0 END] AS scores FROM b),
-s AS (SELECT doc_id, lang, base_failed, rule, scores[rule + 1] AS score FROM f, unnest(generate_series(0, {len(CUTOFFS) - 1})) AS u(rule)),
-cut(rule, cutoff) AS (VALUES {_CUT}),
+s AS (SELECT rid, doc_id, coalesce(lang, chr(0)) AS lang, base_failed, rule, scores[rule + 1] AS score FROM f, unnest(generate_series(0, {len(PATH[0]) - 1})) AS u(rule)),
+path(step, rule, cutoff) AS (VALUES {_PATH}),
 known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT coalesce(lang, chr(0)) AS lang, rule, score, good FROM s JOIN known USING (doc_id) WHERE NOT base_failed),
-k AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND score > cutoff) AS k, count(*) FILTER (WHERE NOT good AND score > cutoff) AS caught
-  FROM held JOIN cut USING (rule) GROUP BY lang, rule, cutoff),
-p AS (SELECT lang, rule, cutoff, k.k, k.n, caught, sum(exp(lgamma(k.n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN k.n > i THEN lgamma(k.n - i + 1) ELSE 0 END
-  + i * ln({_RISK}) + (k.n - i) * ln(1 - {_RISK}))) AS tail FROM k, unnest(generate_series(0, k.k)) AS u(i) WHERE k.n > 0 AND k.k < k.n * {_RISK} GROUP BY lang, rule, cutoff, k.k, k.n, caught),
-sure AS (SELECT *, max(caught) OVER (PARTITION BY lang, rule) AS most FROM p
-  WHERE tail <= {DELTA} / ((SELECT greatest(1, count(DISTINCT lang)) FROM held WHERE good) * {len(CUTOFFS)})),
-chosen AS (SELECT lang, rule, max(cutoff) AS cutoff FROM sure WHERE caught >= {CATCH} * most GROUP BY lang, rule),
-bad AS (SELECT DISTINCT doc_id FROM s JOIN chosen c ON coalesce(s.lang, chr(0)) = c.lang AND s.rule = c.rule AND s.score > c.cutoff)
+held AS (SELECT lang, rid, good, step, bool_or(score > cutoff) AS over FROM s JOIN known USING (doc_id) JOIN path USING (rule) WHERE NOT base_failed GROUP BY lang, rid, good, step),
+k AS (SELECT lang, step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND over) AS k, count(*) FILTER (WHERE NOT good AND over) AS caught FROM held GROUP BY lang, step),
+p AS (SELECT lang, step, k.k, k.n, caught, sum(exp(lgamma(k.n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN k.n > i THEN lgamma(k.n - i + 1) ELSE 0 END
+  + i * ln({RISK}) + (k.n - i) * ln(1 - {RISK}))) AS tail FROM k, unnest(generate_series(0, k.k)) AS u(i) WHERE k.n > 0 AND k.k < k.n * {RISK} GROUP BY lang, step, k.k, k.n, caught),
+sure AS (SELECT *, max(caught) OVER (PARTITION BY lang) AS most FROM p WHERE tail <= {DELTA} / (SELECT greatest(1, count(DISTINCT lang)) FROM held WHERE good)),
+chosen AS (SELECT lang, min(step) AS step FROM sure WHERE caught >= {CATCH} * most GROUP BY lang),
+bad AS (SELECT DISTINCT rid FROM s JOIN chosen USING (lang) JOIN path USING (step, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = f.doc_id) AS kept FROM f
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.rid = f.rid) AS kept FROM f
 """
 
 ORACLE["op5_ngram_jaccard"] = r"""

@@ -386,7 +386,7 @@ def test_quality_cutoffs_equal_a_plain_search(spark):
 
 
 def test_quality_cutoffs_reach_rare_strata(spark):
-    """400 and 200 good labels beside 5,000: too few for tests split over five rules; 400 are enough for the joint one."""
+    """400 and 200 good labels beside 5,000: too few for tests split over five rules; 400 are enough for the joint one, which all take."""
     import random
     rnd, rows_, labels = random.Random(6), [], []
     for i, lang in enumerate(["en"] * 5000 + ["de"] * 400 + ["es"] * 200):
@@ -400,19 +400,20 @@ def test_quality_cutoffs_reach_rare_strata(spark):
     df = spark.createDataFrame(rows_, "row struct<doc_id:long,lang:string>, q struct<base_failed:boolean,scores:array<double>>")
     of = spark.createDataFrame(labels, "doc_id long, quality int")
     alone = {r.stratum: r.cutoffs for r in quality.certify(df, of).collect()}
-    got = {r.stratum: r.cutoffs for r in quality.certify_all(df, of).collect()}
-    assert set(alone) == {"en"} and set(got) == {"en", "de"} and got["en"] == alone["en"]
+    got = {r.stratum: r.cutoffs for r in quality.certify_jointly(df, of).collect()}
+    assert set(alone) == {"en"} and set(got) == {"en", "de"}
 
-    good = [x[1] for (_, lang), x in rows_[:5600] + rows_[-3:] if lang == "de"]
-    bad = [x[1] for (_, lang), x in rows_[5600:-3] if lang == "de"]
     over = lambda docs, c: sum(any(s > x for s, x in zip(d, c)) for d in docs)
-    n, sure = len(good), []
-    for c in quality.PATH:
-        k = over(good, c)
-        if sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / 3:
-            break
-        sure.append((c, over(bad, c)))
-    assert got["de"] == next(c for c, caught in sure if caught >= quality.CATCH * sure[-1][1])
+    is_good = dict(labels)
+    for lang in ("en", "de"):
+        good, bad = [[x[1] for (i, of_), x in rows_ if of_ == lang and is_good[i] == side] for side in (1, 0)]
+        n, sure = len(good), []
+        for c in quality.PATH:
+            k = over(good, c)
+            if sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / 3:
+                break
+            sure.append((c, over(bad, c)))
+        assert got[lang] == next(c for c, caught in sure if caught >= quality.CATCH * sure[-1][1])
     assert sure[-1][1] > 0 and all(a >= b for c, d in zip(quality.PATH, quality.PATH[1:]) for a, b in zip(c, d))
     assert quality.PATH[-1] == [grid[-1] for grid in quality.CUTOFFS.values()]
 

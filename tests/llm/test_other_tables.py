@@ -51,6 +51,19 @@ def test_chats(spark):
     assert chat.format(df.limit(0)).count() == 0
 
 
+def test_chat_rows_without_an_id(spark):
+    """A third of all rows have a null id: each is a conversation, none of them is joined with another or lost."""
+    given = [(i // 2, i % 2, "user", f"t{i}") for i in range(400)]
+    given += [(None, i % 3, "user", "hot") for i in range(150)] + [(None, None, None, None)] * 2
+    # a prefix of conversation 0, equal to conversation 500, and the same row twice under one id
+    given += [(None, 7, "user", "t0"), (None, 0, "user", "same"), (500, 3, "user", "same"), (501, 1, "a", "b"), (501, 1, "a", "b")]
+    got = sorted((tuple(r) for r in chat.format(spark.createDataFrame(given, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    want = [(i, 2, 1, one("user", f"t{2 * i}") + one("user", f"t{2 * i + 1}")) for i in range(200)]
+    want += [(None, 1, 150, one("user", "hot")), (None, 1, 2, one("", "")), (500, 1, 2, one("user", "same")), (501, 1, 1, one("a", "b"))]
+    assert got == sorted(want, key=str)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
