@@ -41,3 +41,14 @@ def test_intervals_equal_numpy(spark):
         assert (again[g].lo, again[g].hi) == pytest.approx((got[g].lo, got[g].hi))
     assert (got["zero"].value, got["zero"].lo, got["zero"].hi) == (None, None, None)
     assert B.intervals(df.limit(0), ["g"], {"mean": ("x", "n")}).count() == 0
+
+
+def test_matches_are_drawn_once_in_several_tasks(spark):
+    # a match in many groups has one list of draws; few small rows are not drawn in one task; a row without a match counts in draw 0 only
+    df = spark.createDataFrame([(f"g{i % 6}", i % 40 if i else None, 1.0) for i in range(240)], "g string, match_id long, x double")
+    reps = B.replicates(df, ["g"], ["x"])
+    assert "posexplode" in reps._jdf.queryExecution().optimizedPlan().toString()
+    drawn = {(r.g, r.draw): r.matches for r in reps.collect()}
+    ids = sorted({i % 40 for i in range(240) if i and i % 6 == 0})
+    assert all(drawn.get(("g0", d), 0) == sum(weight(m, d) for m in ids) for d in (1, 2, 200))
+    assert drawn["g0", 0] == len(ids) + 1
