@@ -156,7 +156,7 @@ add("V02_nearest_players", "pool id rank:i other distance:f", f"""WITH v AS MATE
 
 def _embedded(ws):
     e = ws.source("embeddings").select(F.lit("all").alias("pool"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return V.nearest(e, e, 3, block=256)
+    return V.nearest(e, e, 3, block=1024)
 
 
 add("V02_nearest_embeddings", "id rank:i other distance:f", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM (SELECT a.vec_id::VARCHAR AS id, b.vec_id::VARCHAR AS other,

@@ -29,27 +29,45 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, weights: list[float] |
 
     w = None if weights is None else np.asarray(weights)
 
+    def candidates(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of a, row of b) that hold the k nearest of every row: squared distances by matrix products, and all within their rounding error of the kth."""
+        seen_a, seen_b = ~np.isnan(a), ~np.isnan(b)
+        shared = seen_a.astype(float) @ seen_b.T.astype(float)
+        out = own | (shared < min_shared)
+        scale = np.ones(a.shape[1]) if w is None else w
+        za, zb = np.where(seen_a, a, 0.0), np.where(seen_b, b, 0.0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (za * za * scale) @ seen_b.T + seen_a @ (zb * zb * scale).T - 2 * (za * scale) @ zb.T
+            error = 1e-9 * ((za * za * np.abs(scale)).sum(1)[:, None] + (zb * zb * np.abs(scale)).sum(1).max())
+        if not np.isfinite(near).all() or b.shape[0] <= k:
+            return np.nonzero(~out)
+        if rms:
+            near = near / np.maximum(shared, 1)
+        near[out] = np.inf
+        kth = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+        return np.nonzero((near <= kth + error) & ~out)
+
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"pool": [], "id": [], "other": [], "distance": []})
-        a = np.array([[np.nan if x is None else x for x in v] for v in left["q_vec"]], dtype=float)
-        b = np.array([[np.nan if x is None else x for x in v] for v in right["i_vec"]], dtype=float)
-        total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):  # one dimension at a time keeps memory at one block pair
-            d = a[:, j, None] - b[None, :, j]
+        a, b = (np.array([np.asarray(v, dtype=float) for v in side]) for side in (left["q_vec"], right["i_vec"]))
+        ids, others = left["q_id"].to_numpy(), right["i_id"].to_numpy()
+        code, _ = pd.factorize(np.concatenate([ids, others]))
+        own = code[: len(ids), None] == code[None, len(ids):]
+        rows, cols = candidates(a, b, own)
+        total, shared = np.zeros(len(rows)), np.zeros(len(rows))
+        for j in range(a.shape[1]):
+            d = a[rows, j] - b[cols, j]
             ok = ~np.isnan(d)
             total += np.where(ok, d * d * (1.0 if w is None else w[j]), 0.0)
             shared += ok
         dist = np.sqrt(total / np.maximum(shared, 1)) if rms else np.sqrt(total)
-        dist[shared < min_shared] = np.inf
-        ids, others = left["q_id"].to_numpy(), right["i_id"].to_numpy()
-        dist[ids[:, None] == others[None, :]] = np.inf
         rank_of = np.argsort(np.argsort(others.astype(str), kind="stable"), kind="stable")
-        out = []
-        for r in range(len(a)):
-            near = np.lexsort((rank_of, dist[r]))[:k]
-            out += [(left["q_pool"].iloc[0], ids[r], others[q], float(dist[r, q])) for q in near if np.isfinite(dist[r, q])]
-        return pd.DataFrame(out, columns=["pool", "id", "other", "distance"])
+        order = np.lexsort((rank_of[cols], dist, rows))
+        order = order[np.isfinite(dist[order])]
+        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        near = order[place < k]
+        return pd.DataFrame({"pool": left["q_pool"].iloc[0], "id": ids[rows[near]], "other": others[cols[near]], "distance": dist[near]})
 
     left, right = cut(queries, "q", "qb", "ib"), cut(items, "i", "ib", "qb")
     pairs = left.groupBy("q_pool", "qb", "ib").cogroup(right.groupBy("i_pool", "qb", "ib")).applyInPandas(
