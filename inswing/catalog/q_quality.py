@@ -126,7 +126,7 @@ for _n, _c in enumerate(quality.CHECKS, 1):
     add(f"Q{_n:02d}_{_c.id}", SQL[_c.id][0], SQL[_c.id][1], lambda ws, c=_c: c.rows(faulty(ws)))
 _counts = "\nUNION ALL ".join(f"SELECT '{c.id}' AS id, '{c.severity}' AS severity, count(*) AS violations FROM ({SQL[c.id][1]})" for c in quality.CHECKS)
 add("Q00_report", "id severity violations:i status", f"SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE severity END AS status FROM ({_counts})",
-    lambda ws: quality.report(faulty(ws)))
+    lambda ws: quality.report(faulty(ws), ws.stage))
 
 
 def _tagged(ws):

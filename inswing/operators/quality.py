@@ -169,16 +169,20 @@ CHECKS: list[Check] = [
 ]
 
 
-def report(tables: Tables) -> DataFrame:
-    """One row per check: violations, status and up to three examples; the counts are distributed aggregates."""
+def report(tables: Tables, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """One row per check: violations, status and up to three examples; the counts are distributed aggregates.
+
+    `stage` writes a frame and hands out a scan of it. Checks run one after another and each leaves its row there, so the
+    driver holds the plan and the broadcast tables of one check at a time, not of all.
+    """
     out = None
     for c in CHECKS:
         rows = c.rows(tables)
         text = rows.select(F.to_json(F.struct(*rows.columns)).alias("example"))
         examples = F.array_distinct(F.array_compact(F.array(F.min("example"), F.max("example"), F.any_value("example"))))
-        line = text.agg(F.count("*").alias("violations"), examples.alias("examples")).select(
+        line = stage(text.agg(F.count("*").alias("violations"), examples.alias("examples")).select(
             F.lit(c.id).alias("id"), F.lit(c.area).alias("area"), F.lit(c.severity).alias("severity"), "violations",
-            "examples", F.when(F.col("violations") == 0, "PASS").otherwise(c.severity).alias("status"))
+            "examples", F.when(F.col("violations") == 0, "PASS").otherwise(c.severity).alias("status")), f"report-{c.id}")
         out = line if out is None else out.unionByName(line)
     return out
 
