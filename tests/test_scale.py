@@ -2,6 +2,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import inswing.catalog  # noqa: F401
 from inswing.plans import workspace
@@ -49,3 +50,14 @@ def test_lines_that_need_no_cut_are_shuffled_once_and_narrow(spark, ws):
 
 def test_deliveries_are_not_written_again(ws):
     assert all("/ball_facts/" in f for f in ws["deliveries"].inputFiles())
+
+
+def test_relations_are_written_without_methods_that_the_jvm_interprets(spark, ws, monkeypatch):
+    name, limit = workspace.METHOD_LIMIT
+    before, seen = spark.conf.get(name), []
+    whole = workspace.Workspace(spark, ws.inputs)
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(name)) or parquet(self, path))
+    whole.prepare(["innings", "wickets"])
+    whole.stage(whole["innings"], "copy")
+    assert len(seen) > 3 and set(seen) == {limit} and spark.conf.get(name) == before
