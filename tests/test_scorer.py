@@ -1,6 +1,8 @@
 """The typed fold: the order of arrival and the number of batches change nothing, and its state does not grow with the balls."""
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -48,3 +50,16 @@ def test_state_holds_people_not_balls(ws, some, spark):
     matches = some.select("match_id").distinct().count()
     assert held("innings") == matches and held("waiting") <= matches
     assert 0 < held("batters") <= 11 * matches and 0 < held("bowlers") <= 11 * matches
+
+
+def test_each_list_of_a_match_is_one_value(ws, some, spark):
+    """Without the start of an innings all its balls wait; copies wait once, and the rest of the feed ends as ever."""
+    headless = some.filter("kind <> 'innings_start'")
+    scorer.replayed(ws, headless, "test-headless", 2)
+    kept = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{ws.root}/stream/test-headless/cp")
+    matches = some.select("match_id").distinct().count()
+    assert kept.count() == matches
+    waiting = [tuple(r) for v in kept.select("value.rows").collect() for r in json.loads(v[0])]
+    assert len(waiting) == len(set(waiting)) and set(waiting) == {tuple(r) for r in headless.collect()}
+    scorer.replayed(ws, some.filter("kind <> 'innings_end'"), "test-open", 2)
+    assert spark.read.format("statestore").option("stateVarName", "batters").load(f"{ws.root}/stream/test-open/cp").count() == matches
