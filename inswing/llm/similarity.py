@@ -42,6 +42,7 @@ VALUES = 80  # MinHash values of a text at most
 SEED = 7
 BLOCK = 512  # members of a block, about
 BLOCK_WORDS = 400_000  # words of a block, about
+SLICE = 256  # documents whose n-grams a worker makes together
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, values: int = VALUES) -> tuple[int, int]:
@@ -88,7 +89,14 @@ def gram_sets(flat: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> list[n
 
 def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False), offsets
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few documents at a time: what a worker holds beside its batch is the n-grams of these, not of the whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def _signer(bands: int, rows: int, gram: int):
@@ -98,7 +106,7 @@ def _signer(bands: int, rows: int, gram: int):
         rng = np.random.default_rng(SEED)
         salt = rng.integers(0, 2**64, k, dtype=np.uint64)[:, None]
         odd = (rng.integers(0, 2**64, k, dtype=np.uint64) | np.uint64(1))[:, None]
-        for batch in batches:
+        for batch in _slices(batches):
             sets = gram_sets(*_list_parts(batch.column(1)), gram)
             keys, values = [], np.zeros((len(sets), bands), np.int64)
             for d, s in enumerate(sets):
@@ -241,7 +249,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 def _keyed(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Give each text the digest of its set again."""
-        for batch in batches:
+        for batch in _slices(batches):
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in gram_sets(*_list_parts(batch.column(1)), gram)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["node", "key", "w"])
 

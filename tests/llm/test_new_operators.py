@@ -4,13 +4,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inswing.llm import divergence, lines, middle, tokenfiles
+from inswing.llm import divergence, lines, middle, similarity, tokenfiles
 from tests.llm.conftest import ODD
 
 
@@ -95,6 +98,24 @@ def test_encoder_forgets_the_older_half(monkeypatch):
     assert len(e.words) < 250 and len(e.pieces) < 250
 
 
+def test_signing_holds_the_ngrams_of_a_few_documents_at_once():
+    n, words = 4096, 300
+    rng = np.random.default_rng(4)
+    w = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(rng.integers(-2**63, 2**63, n * words, dtype=np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), w], names=["doc_id", "w"])
+    for run in (similarity._signer(18, 4, 5), similarity._keyed(5)):
+        alone = pa.Table.from_batches(run(iter([batch.slice(4000, 7)])))
+        tracemalloc.start()
+        got, at = [], 0
+        for b in run(iter([batch])):
+            if at < 4007 and at + b.num_rows > 4000:
+                got.append(b.slice(max(0, 4000 - at), 4007 - max(at, 4000)))
+            at += b.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert at == n and pa.Table.from_batches(got).equals(alone) and peak < w.nbytes
+
+
 def runs(rows, words=20, span=30):
     """Every run of units of every text."""
     cut = {}
