@@ -35,6 +35,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -52,7 +53,8 @@ SLICE = 256  # documents encoded together
 HEAD = "<4sB32s"
 TAIL = "<QQ4s"
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
-MARKS = ".,;:!?"
+MARKS = ".,;:!?*#$%&"
+MARKED = "([A-Za-z])([.,;:!?*#$%&]+)( |$)"  # the tokenizer parts a letter from the mark behind it, so a blank between them changes nothing
 
 
 class Encoder:
@@ -80,17 +82,28 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_words:
-            return [a.tobytes() for a in self.plain(texts)]
+            return [a.tobytes() for a in self.plain(texts.to_pylist())]
         for known in (self.pieces, self.words):
             if len(known) > KNOWN_WORDS:  # the older half goes
                 for k in list(islice(known, len(known) // 2)):
                     del known[k]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut).difference(self.pieces))
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        # pieces are cut, told apart and put together as Arrow arrays; each different one is looked up once a call
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), MARKED, r"\1 \2\3")
+        cut = pc.split_pattern(spaced, " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.pieces.get, pieces))
+        new = {p for p, ids in zip(pieces, known) if ids is None}
+        if new:
+            self.learn(new)
+            known = [self.pieces[p] if ids is None else ids for p, ids in zip(pieces, known)]
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        offsets, data = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:], memoryview(ids.buffers()[2] or b"")
+        at = offsets[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
     def learn(self, pieces: set[str]) -> None:
         stems, marks, rest = [], set(), []
@@ -145,11 +158,11 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield part.column(0).to_pylist(), part.column(1)
 
 
 def train(docs: DataFrame, tokenizer: str) -> bytes:

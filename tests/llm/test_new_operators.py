@@ -98,6 +98,20 @@ def test_encoder_forgets_the_older_half(monkeypatch):
     assert len(e.words) < 250 and len(e.pieces) < 250
 
 
+def test_words_before_runs_of_marks_are_encoded_together(monkeypatch):
+    """Ids are those of the whole text, also where a special token, a digit or an apostrophe stands before a mark."""
+    e = tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    odd = ["", " ", "\n\n", "x, ", "***", "a,\u0301 b", "don't. it's, s's!", "<|endoftext|>. a<|startoftext|>, <|ENDOFTEXT|>!", "a1. 2b, 33:", "É, é.\u0327 x\u0301, ẞ;", "a\t, b.\r\n c;\n"]
+    odd += ["".join(rng.choice(list("aZé1 \n\t'.,;:!?*#$%&|<>_\u0301") + ["word", "<|endoftext|>"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert e.encode(odd) == [x.tobytes() for x in e.plain(odd)]
+    assert e.encode(pa.array(["cut away", *odd])[1:]) == e.encode(odd) and e.encode([]) == []
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}{m}" for i in range(200) for m in ("***", "$$", "%,")]
+    want, alone, plain = [x.tobytes() for x in e.plain(texts)], [], e.plain
+    monkeypatch.setattr(e, "plain", lambda t: alone.extend(t) or plain(t))
+    assert e.encode(texts) == want and len(alone) < 20
+
+
 def test_signing_holds_the_ngrams_of_a_few_documents_at_once():
     n, words = 4096, 300
     rng = np.random.default_rng(4)
