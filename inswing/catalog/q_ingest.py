@@ -8,7 +8,7 @@ from inswing.plans.workspace import relation
 from inswing.sources import documents as D
 
 
-@relation("match_documents")
+@relation("match_documents", large_rows=True)
 def match_documents(ws):
     return D.to_documents(ws)
 

@@ -1,6 +1,7 @@
 """How the working tables are dealt to tasks: partitions by rows and overlong innings."""
 import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import DataFrameWriter
 
@@ -61,3 +62,13 @@ def test_relations_are_written_without_methods_that_the_jvm_interprets(spark, ws
     whole.prepare(["innings", "wickets"])
     whole.stage(whole["innings"], "copy")
     assert len(seen) > 3 and set(seen) == {limit} and spark.conf.get(name) == before
+
+
+def test_documents_are_written_in_small_row_groups(spark, tmp_path):
+    day = datetime.date(2020, 1, 1)
+    rows = [(60 * m + 30 * i, 1, 1, 1 + k, 20.0, 1.0, day) for m in range(1, 401) for i in (0, 1) for k in (0, 1)]
+    spark.createDataFrame(rows, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = workspace.Workspace(spark, str(tmp_path))["match_documents"]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in docs.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == docs.count() == 400 and max(groups) <= 64 < max(f.num_rows for f in files)
