@@ -64,6 +64,27 @@ def test_relations_are_written_without_methods_that_the_jvm_interprets(spark, ws
     assert len(seen) > 3 and set(seen) == {limit} and spark.conf.get(name) == before
 
 
+def test_relations_are_joined_by_the_size_of_their_rows(spark, tmp_path, monkeypatch):
+    """Many rows in a small file, as equal ones are, must not be broadcast."""
+    from inswing.plans.workspace import BUILDERS, Workspace
+
+    monkeypatch.setitem(BUILDERS, "many", (lambda ws: spark.range(40_000).selectExpr("id", "repeat('x', 50) AS same"), ()))
+    monkeypatch.setitem(BUILDERS, "joined", (lambda ws: ws["many"].join(ws["many"].withColumnRenamed("same", "other"), "id"), ()))
+    plans = []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(self._df._jdf.sparkSession().sessionState().executePlan(
+        self._df._jdf.queryExecution().logical(), self._df._jdf.queryExecution().mode()).executedPlan().toString()) or parquet(self, path))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 << 20))
+    try:
+        ws = Workspace(spark, str(tmp_path))
+        ws["many"], ws["joined"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plans[-1] and "SortMergeJoin" in plans[-1]
+    assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "1.0"
+
+
 def test_documents_are_written_in_small_row_groups(spark, tmp_path):
     day = datetime.date(2020, 1, 1)
     rows = [(60 * m + 30 * i, 1, 1, 1 + k, 20.0, 1.0, day) for m in range(1, 401) for i in (0, 1) for k in (0, 1)]
